@@ -53,3 +53,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT ({" OR ".join(f"coalesce({_rate[r]} > cut_{r}, false)" for r in RULES)}) AS kept
 FROM n LEFT JOIN cuts USING (stratum)
 """
+
+_words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_words} AS w FROM documents
+), i AS (
+  SELECT coalesce(item_id::varchar, 'null') AS item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {_words} AS w FROM benchmark) WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM i)
+), dw AS (
+  SELECT rid, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw))
+), hits AS (
+  SELECT DISTINCT rid, item_id, p, k FROM dw JOIN iw USING (k, g)
+), covered AS (
+  SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM hits) GROUP BY rid
+), found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import decontaminate as dc
 from . import quality_rules as qr
 from ._common import read_table
 
 
+def op1_benchmark_decontamination(spark, sf_dir):
+    table = dc.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return table.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_quality_rules(spark, sf_dir):
     table = qr.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return table.select("doc_id", *(F.col(f"{qr.P}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def queries():
-    return {"op7_quality_rules": op7_quality_rules}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op7_quality_rules)}
 
 
 def oracle_sql():
-    from .oracles import OP7
+    from .oracles import OP1, OP7
 
-    return {"op7_quality_rules": OP7}
+    return {"op1_benchmark_decontamination": OP1, "op7_quality_rules": OP7}
