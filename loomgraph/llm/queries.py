@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
+from . import near_dedup as nd
 from . import quality_rules as qr
 from ._common import read_table
 
@@ -19,8 +20,12 @@ def op7_quality_rules(spark, sf_dir):
     return table.select("doc_id", *(F.col(f"{qr.P}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op10_minhash_near_dedup(spark, sf_dir):
+    return nd.near_duplicates(read_table(spark, sf_dir, "documents"), nd.MinHash(words=2))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op7_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
