@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as dc
 from . import near_dedup as nd
 from . import quality_rules as qr
+from . import sentencepiece as sp
 from ._common import read_table
 
 
@@ -15,6 +16,11 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return table.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_sentencepiece(spark, sf_dir, model_path=sp.DEFAULT_MODEL):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp.encode(docs, sp.Model.load(model_path)).select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
 def op7_quality_rules(spark, sf_dir):
     table = qr.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return table.select("doc_id", *(F.col(f"{qr.P}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -25,7 +31,7 @@ def op10_minhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op7_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_sentencepiece, op7_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
