@@ -38,8 +38,33 @@ def components(edges: DataFrame, owner: str = "") -> DataFrame:
         labels = new.select("u", "l")
 
 
+def stars(entries: DataFrame, allowed=None, owner: str = "") -> tuple[DataFrame, DataFrame]:
+    """Stored (a, b): each member of a bucket with its least id; stored (key, id, n): members of buckets of three or more.
+
+    ``entries``: (key, id) and, if ``allowed`` is given, ``sig``; ``allowed`` makes
+    of two signature columns the condition that a pair needs. One shuffle deals
+    the entries by key; within a key they are sorted, which can spill.
+    """
+    from pyspark.sql import Window
+
+    bucket = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    row = ["id"] + ["sig"] * (allowed is not None)
+    ranked = entries.withColumns({"lead": F.first(F.struct(*row)).over(bucket), "rank": F.row_number().over(Window.partitionBy("key").orderBy("id")), "last": F.lead("id", 2).over(Window.partitionBy("key").orderBy("id"))})
+    held = F.lit(True) if allowed is None else allowed(F.col("sig"), F.col("lead.sig"))
+    # the first of a bucket tells whether there is a third; others follow it
+    third = F.first("last").over(bucket).isNotNull()
+    ranked = ranked.withColumn("third", third).where((F.col("third") | (F.col("rank") > 1)))
+    pair = F.when((F.col("id") > F.col("lead.id")) & held, F.col("lead.id"))
+    ranked = store(ranked.select("key", "id", "third", pair.alias("a")), "buckets", owner)
+    pairs = store(ranked.where("a is not null").select("a", F.col("id").alias("b")).distinct(), "pairs", owner)
+    open_ = ranked.where("third").select("key", "id").distinct()
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return pairs, store(open_.join(sizes, "key"), "crowded", owner)
+
+
 def link(
-    entries: DataFrame,
+    tested: DataFrame,
+    open_: DataFrame,
     signatures: DataFrame,
     near: Callable[[np.ndarray, np.ndarray], np.ndarray],
     verify: Callable[[DataFrame], DataFrame],
@@ -47,11 +72,11 @@ def link(
 ) -> DataFrame:
     """Stored links (a, b), a < b, enough to connect all that are linked within a bucket.
 
-    ``entries`` (key, id): buckets of candidates. ``signatures`` (id, sig):
-    bytes of equal length. ``near(x, y)``: for two arrays of signatures
-    (last axis: bytes; the others broadcast), a score for each pair, negative
-    where the pair can't be linked.
-    ``verify(pairs)``: the truly linked ones of candidate pairs (a, b).
+    ``tested`` and ``open_``: what :func:`stars` gives. ``signatures`` (id, sig):
+    bytes of equal length. ``near(x, y)``: for two arrays of signatures (last
+    axis: bytes; the others broadcast), a score for each pair, negative where
+    the pair can't be linked. ``verify(pairs)``: the truly linked ones of
+    candidate pairs (a, b).
 
     First every member is held against its bucket's least id. Groups of copies
     become one component this way, from as many pairs as members. What remains
@@ -61,12 +86,7 @@ def link(
     go on, with more candidates each, until none was held back: no pair that
     could join two components is left out, and pairs within one are never made.
     """
-    leaders = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    entries = store(entries.join(leaders, "key").distinct(), "buckets", owner)
-    tested = store(entries.where("a < id").select("a", F.col("id").alias("b")).distinct(), "pairs", owner)
     links = store(verify(screened(tested, signatures, near)), "links", owner)
-    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    open_ = store(entries.join(crowded, "key").select("key", "id", "n"), "crowded", owner)
     best = 4
     while True:
         known = components(links, owner)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _vector
 from ._common import broadcast_if_small, store
-from .grouping import components, link
+from .grouping import components, link, stars
 
 MAX_BROADCAST = 500_000
 
@@ -167,9 +167,9 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), owner: str = "") ->
         signed.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes", owner
     )
     entries = classes.select("id", "sig").mapInArrow(_band_keys(p), "key long, id long")
-    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    entries = store(entries.join(shared, "key").distinct(), "bands", owner)
-    wanted = store(entries.select(F.col("id").alias("doc_id")).distinct(), "wanted", owner)
+    pairs, crowded = stars(entries, owner=owner)
+    members = pairs.select("a").union(pairs.select("b")).union(crowded.select("id"))
+    wanted = store(members.select(F.col("a").alias("doc_id")).distinct(), "wanted", owner)
     chosen = slim.join(broadcast_if_small(wanted, MAX_BROADCAST), "doc_id", "left_semi")
     sets = store(chosen.mapInArrow(_sets(p), "id long, print binary, grams binary").repartition("id").dropDuplicates(["id", "print"]).drop("print"), "sets", owner)
 
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), owner: str = "") ->
 
     signatures = classes.select("id", "sig").join(wanted.select(F.col("doc_id").alias("id")), "id", "left_semi")
     signatures = store(signatures.dropDuplicates(["id"]), "signatures", owner)
-    known = components(link(entries, signatures, posterior_screen(p), verify, owner), owner)
+    known = components(link(pairs, crowded, signatures, posterior_screen(p), verify, owner), owner)
     # rows with one id and different texts are linked through the id
     versions = signed.where("n > 0 and doc_id is not null").join(classes.select("print", "id"), "print").select("doc_id", F.col("id").alias("of")).where("doc_id <> of").distinct()
     mixed = versions.groupBy("doc_id").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format as cf
 from . import decontaminate as dc
+from . import line_dedup as ld
 from . import near_dedup as nd
 from . import quality_rules as qr
 from . import sentencepiece as sp
@@ -17,6 +18,11 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return table.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ld.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_sentencepiece(spark, sf_dir, model_path=sp.DEFAULT_MODEL):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sp.encode(docs, sp.Model.load(model_path)).select("doc_id", "n_tokens", "token_ids", "round_trip")
@@ -39,7 +45,7 @@ def op10_minhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_sentencepiece, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op4_sentencepiece, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
