@@ -17,6 +17,8 @@ from ._common import store
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
+#: Rounds in which members outside a bucket's main component meet another member of it.
+PIVOTS = 2
 
 
 def components(edges: DataFrame, owner: str = "") -> DataFrame:
@@ -78,46 +80,55 @@ def link(
     the pair can't be linked. ``verify(pairs)``: the truly linked ones of
     candidate pairs (a, b).
 
-    First every member is held against its bucket's least id. Groups of copies
-    become one component this way, from as many pairs as members. What remains
-    are pairs of members of different components. Signatures of such buckets
-    meet in blocks of ``CHUNK`` by ``CHUNK``; each member offers its best few
-    candidates in each other component for exact verification, and the rounds
-    go on, with more candidates each, until none was held back: no pair that
-    could join two components is left out, and pairs within one are never made.
+    First every member was held against its bucket's least id. Groups of copies
+    become few components this way, from as many pairs as members. Of a bucket
+    that still has several, the members outside its largest component are held
+    against other members of that one, ``PIVOTS`` times. What remains outside
+    meets the whole bucket in blocks of ``CHUNK`` by ``CHUNK`` signatures; each
+    such member offers its best few candidates in each other component for
+    exact verification, and the rounds go on, with more candidates each, until
+    none was held back: no pair that could join two components is left out,
+    and pairs within one are never made.
     """
     links = store(verify(screened(tested, signatures, near)), "links", owner)
-    best = 4
+    best, turn = 4, 0
     while True:
         known = components(links, owner)
         marked = open_.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        split = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        marked = marked.join(split, "key")
-        chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-        own = F.pmod(F.xxhash64("id"), chunks).cast("int")
-        dealt = (
-            marked.select("key", "id", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-            .select("key", "id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-            .join(signatures, "id")
-        )
-        found = store(dealt.groupBy("key", "i", "j").applyInPandas(_offer(near, best), "a long, b long, more boolean"), "offers", owner)
-        new = store(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs", owner)
-        if new.isEmpty():
-            if found.where("more").isEmpty():
-                return links
+        sizes = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+        main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
+        marked = store(marked.join(main, "key").withColumn("out", F.col("c") != F.col("main")), "marked", owner)
+        if marked.isEmpty():
+            return links
+        if turn < PIVOTS:
+            pivots = marked.where("not out").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("p"))
+            offered = marked.where("out").join(pivots, "key").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.lit(False).alias("more"))
         else:
-            links = store(links.union(verify(new)), "links", owner)
+            offered = _blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best), "a long, b long, more boolean")
+            best *= 16
+        offered = store(offered, "offers", owner)
+        new = store(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs", owner)
+        last = turn >= PIVOTS and offered.where("more").isEmpty()
+        turn += 1
+        if not new.isEmpty():
+            links = store(links.union(verify(screened(new, signatures, near))), "links", owner)
             tested = store(tested.union(new), "tested", owner)
-            if found.where("more").isEmpty():
-                return links
-        best *= 16
+        if last:
+            return links
+
+
+def _blocks(marked: DataFrame) -> DataFrame:
+    """Deal every bucket's members outside its main component (x), and all its members (y), to blocks."""
+    nx, ny = F.ceil(F.col("outside") / F.lit(CHUNK)).cast("int"), F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+    i, j = F.pmod(F.xxhash64("id"), nx).cast("int"), F.pmod(F.xxhash64("id"), ny).cast("int")
+    x = marked.where("out").select("key", "id", "c", F.lit(True).alias("x"), i.alias("i"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("j"))
+    y = marked.select("key", "id", "c", F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0), nx - 1)).alias("i"), j.alias("j"))
+    return x.union(y)
 
 
 def _offer(near, best: int):
     def offer(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        x = group[group["own"] == i]
-        y = group[group["own"] == j]
+        x, y = group[group["x"]], group[~group["x"]]
         empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "more": np.empty(0, bool)})
         if not len(x) or not len(y):
             return empty
