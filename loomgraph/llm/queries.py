@@ -10,7 +10,8 @@ from . import line_dedup as ld
 from . import near_dedup as nd
 from . import quality_rules as qr
 from . import sentencepiece as sp
-from ._common import read_table
+from . import warc
+from ._common import read_table, scratch_path
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -23,6 +24,12 @@ def op2_line_dedup(spark, sf_dir):
     return ld.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_warc(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_sentencepiece(spark, sf_dir, model_path=sp.DEFAULT_MODEL):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sp.encode(docs, sp.Model.load(model_path)).select("doc_id", "n_tokens", "token_ids", "round_trip")
@@ -45,10 +52,10 @@ def op10_minhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op4_sentencepiece, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
-    from .oracles import OP1, OP6, OP7
+    from .oracles import OP1, OP3, OP6, OP7
 
-    return {"op1_benchmark_decontamination": OP1, "op6_chat_formatting": OP6, "op7_quality_rules": OP7}
+    return {"op1_benchmark_decontamination": OP1, "op3_warc": OP3, "op6_chat_formatting": OP6, "op7_quality_rules": OP7}
