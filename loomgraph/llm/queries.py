@@ -8,6 +8,7 @@ from . import chat_format as cf
 from . import decontaminate as dc
 from . import line_dedup as ld
 from . import near_dedup as nd
+from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import sentencepiece as sp
 from . import warc
@@ -35,6 +36,10 @@ def op4_sentencepiece(spark, sf_dir, model_path=sp.DEFAULT_MODEL):
     return sp.encode(docs, sp.Model.load(model_path)).select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return qc.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op6_chat_formatting(spark, sf_dir):
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -52,7 +57,7 @@ def op10_minhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
