@@ -11,6 +11,7 @@ from . import near_dedup as nd
 from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import sentencepiece as sp
+from . import token_output as to
 from . import warc
 from ._common import read_table, scratch_path
 
@@ -52,12 +53,19 @@ def op7_quality_rules(spark, sf_dir):
     return table.select("doc_id", *(F.col(f"{qr.P}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op8_token_output(spark, sf_dir):
+    path = scratch_path(spark, "shards")
+    to.materialise(read_table(spark, sf_dir, "documents").select("text"), path)
+    ids = F.array_join(F.col("token_ids"), " ")
+    return to.read_slots(spark, path).select("slot", "sequence", "shard", "n_tokens", F.sha2(ids, 256).alias("tokens_sha256"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return nd.near_duplicates(read_table(spark, sf_dir, "documents"), nd.MinHash(words=2))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op8_token_output, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
