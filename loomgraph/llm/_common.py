@@ -52,7 +52,7 @@ def store(df: DataFrame, name: str, owner: str = "") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name, owner)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format as cf
 from . import decontaminate as dc
+from . import html_extract as hx
 from . import line_dedup as ld
 from . import near_dedup as nd
 from . import quality_classifier as qc
@@ -60,12 +61,16 @@ def op8_token_output(spark, sf_dir):
     return to.read_slots(spark, path).select("slot", "sequence", "shard", "n_tokens", F.sha2(ids, 256).alias("tokens_sha256"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    return hx.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return nd.near_duplicates(read_table(spark, sf_dir, "documents"), nd.MinHash(words=2))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op8_token_output, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_warc, op4_sentencepiece, op5_quality_classifier, op6_chat_formatting, op7_quality_rules, op8_token_output, op9_html_extraction, op10_minhash_near_dedup)}
 
 
 def oracle_sql():
