@@ -206,4 +206,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, control: RiskControl = Ri
     """
     cuts = store(cutoffs(measure(docs, strata, owner), labels.select("doc_id", "quality"), control), "quality-cutoffs", owner)
     measured = with_metrics(docs.withColumn(f"{P}stratum", stratum(strata)))
-    return judged(measured, cuts).where(F.col(f"{P}kept")).select(*docs.columns)
+    # the row number keeps the filter from being pushed below, where it would hold every metric's expression many times over
+    told = judged(measured, cuts).select(*docs.columns, f"{P}kept", F.monotonically_increasing_id().alias(f"{P}row"))
+    return told.where(F.col(f"{P}kept") & (F.col(f"{P}row") >= 0)).select(*docs.columns)
