@@ -57,8 +57,7 @@ def op7_quality_rules(spark, sf_dir):
 def op8_token_output(spark, sf_dir):
     path = scratch_path(spark, "shards")
     to.materialise(read_table(spark, sf_dir, "documents").select("text"), path)
-    ids = F.array_join(F.col("token_ids"), " ")
-    return to.read_slots(spark, path).select("slot", "sequence", "shard", "n_tokens", F.sha2(ids, 256).alias("tokens_sha256"))
+    return to.read_slots(spark, path, packed=True).select("slot", "sequence", "shard", "n_tokens", F.sha2("token_ids", 256).alias("tokens_sha256"))
 
 
 def op9_html_extraction(spark, sf_dir):

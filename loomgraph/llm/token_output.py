@@ -51,6 +51,8 @@ class Layout:
     length: int = 1024
     #: Slots of a shard: 8 MB of ids.
     per_shard: int = 4096
+    #: Sequences of a row of the table of ids.
+    per_run: int = 256
     #: Shards that one task writes.
     per_task: int = 4
     key: int = 0x5DEECE66D
@@ -103,14 +105,15 @@ class Tokens:
     def __getstate__(self):
         return {"path": self.path, "pattern": self.pattern, "end": self.end, "_seen": {}, "_encode": None}
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> bytes:
+        """The ids of a text, 16 bits each."""
         if self._encode is None:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(self.path).read_bytes().splitlines())}
             self._encode = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         seen, encode, found = self._seen, self._encode, []
-        if len(seen) > 400_000:
+        if len(seen) > 250_000:
             seen.clear()
         # no split of the pattern reaches over a change from other characters to white space
         for piece in re.findall(r"\s*\S+|\s+", text):
@@ -120,30 +123,37 @@ class Tokens:
                 if len(piece) <= 40:
                     seen[piece] = ids
             found.append(ids)
-        return np.frombuffer(b"".join(found), "<u2")
+        return b"".join(found)
 
 
-def tokenised(docs: DataFrame, encode: Callable[[str], np.ndarray], end: int, owner: str = "") -> DataFrame:
-    """Stored (part, start, n, ids): the ids of each text with the end mark, packed, and where they begin in their partition.
+def tokenised(docs: DataFrame, encode: Callable[[str], bytes], end: int, layout: Layout, owner: str = "") -> DataFrame:
+    """Stored (part, first, n, ids): runs of whole sequences of a partition, packed; ``first`` is the number of the run's first one in it.
 
-    Null and empty texts have none.
+    Only a partition's last run may end within a sequence. Null and empty texts
+    have no ids, not even an end mark.
     """
+    size, mark = 2 * layout.length * layout.per_run, np.array([end], "<u2").tobytes()
 
     def run(batches):
-        part, start, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        part, first, pack, held = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3), bytearray()
+
+        def row(data: bytes):
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(data) // 2], pa.int64()), pa.array([pack.compress(data)], pa.binary())], ["part", "first", "n", "ids"])
+
         for batch in batches:
             for piece in _vector.pieces(batch, "text", 2_000_000):
-                starts, counts, data = [], [], []
                 for text in piece.column("text").to_pylist():
                     if text:
-                        ids = np.append(encode(text), np.array([end], "<u2")).astype("<u2")
-                        starts.append(start)
-                        counts.append(len(ids))
-                        data.append(pack.compress(ids.tobytes()))
-                        start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], ["part", "start", "n", "ids"])
+                        held += encode(text)
+                        held += mark
+                    while len(held) >= size:
+                        yield row(bytes(held[:size]))
+                        del held[:size]
+                        first += layout.per_run
+        if held:
+            yield row(bytes(held))
 
-    return store(docs.select("text").mapInArrow(run, "part int, start long, n long, ids binary"), "tokens", owner)
+    return store(docs.select("text").mapInArrow(run, "part int, first long, n long, ids binary"), "tokens", owner)
 
 
 def materialise(docs: DataFrame, path: str, layout: Layout = Layout(), tokens: Tokens | None = None, owner: str = "") -> int:
@@ -155,32 +165,23 @@ def materialise(docs: DataFrame, path: str, layout: Layout = Layout(), tokens: T
     tokens = tokens or Tokens()
     if tokens.end >= 1 << 16:
         raise ValueError("the vocabulary has more ids than 16 bits hold")
-    found = tokenised(docs, tokens, tokens.end, owner)
-    length = F.lit(layout.length)
-    counts = found.groupBy("part").agg(F.ceil(F.max(F.col("start") + F.col("n")) / length).alias("sequences"), F.max(F.col("start") + F.col("n")).alias("ids_in_part"))
+    found = tokenised(docs, tokens, tokens.end, layout, owner)
+    reached = F.max(F.col("first") + F.ceil(F.col("n") / F.lit(layout.length)))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the scan
-    bases = store(counts.withColumn("base", F.coalesce(F.sum("sequences").over(before), F.lit(0))), "bases", owner)
+    bases = found.groupBy("part").agg(reached.alias("sequences")).withColumn("base", F.coalesce(F.sum("sequences").over(before), F.lit(0)))
+    bases = store(bases, "bases", owner)
     slots = bases.agg(F.sum("sequences")).first()[0] or 0
     order, shards = Permutation(slots, layout.key, layout.rounds), -(-slots // layout.per_shard)
+    width = 2 * layout.length
 
-    def fragments(batches):
-        unpack = zstandard.ZstdDecompressor()
+    def sequences(batches):
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for piece in _vector.pieces(batch, "ids", 4_000_000):
-                number, at, size, data = [], [], [], []
-                for start, n, base, whole, ids in zip(*(piece.column(c).to_pylist() for c in ("start", "n", "base", "ids_in_part", "ids")), strict=True):
-                    raw = unpack.decompress(ids)
-                    for k in range(start // layout.length, (start + n - 1) // layout.length + 1):
-                        a, b = max(start, k * layout.length), min(start + n, (k + 1) * layout.length)
-                        number.append(base + k)
-                        at.append(a - k * layout.length)
-                        size.append(min(whole - k * layout.length, layout.length))
-                        data.append(raw[2 * (a - start) : 2 * (b - start)])
-                slot = order.slot(np.array(number, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((slot // layout.per_shard).astype(np.int64)), pa.array((slot % layout.per_shard).astype(np.int32)), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(data, pa.binary())],
-                    ["shard", "row", "at", "size", "data"],
-                )
+            for first, base, ids in zip(batch.column("first").to_pylist(), batch.column("base").to_pylist(), batch.column("ids"), strict=True):
+                raw = unpack.decompress(ids.as_buffer())
+                data = [raw[i : i + width] for i in range(0, len(raw), width)]
+                slot = order.slot(np.arange(base + first, base + first + len(data)))
+                yield pa.RecordBatch.from_arrays([pa.array(slot // layout.per_shard), pa.array((slot % layout.per_shard).astype(np.int32)), pa.array([pack.compress(x) for x in data], pa.binary())], ["shard", "row", "data"])
 
     fingerprint = xxhash.xxh3_64_intdigest(struct.pack("<Q", layout.key % (1 << 64)))
 
@@ -191,39 +192,36 @@ def materialise(docs: DataFrame, path: str, layout: Layout = Layout(), tokens: T
     record = np.dtype([("n", "<u4"), ("ids", "<u2", (layout.length,))])
 
     def assemble(batches):
-        number, body = None, None
+        number, body, unpack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            rows, ats, sizes, data = (batch.column(c) for c in ("row", "at", "size", "data"))
-            rows, ats, sizes = rows.to_numpy(), ats.to_numpy(), sizes.to_numpy()
-            for i in range(len(batch)):
-                if shard[i] != number:
+            for shard, row, data in zip(batch.column("shard").to_pylist(), batch.column("row").to_pylist(), batch.column("data"), strict=True):
+                if shard != number:
                     if number is not None:
                         yield shard_of(number, body)
-                    number = int(shard[i])
-                    body = np.zeros(min(layout.per_shard, slots - number * layout.per_shard), record)
+                    number, body = shard, np.zeros(min(layout.per_shard, slots - shard * layout.per_shard), record)
                     body["ids"] = tokens.end
-                ids = np.frombuffer(data[i].as_buffer(), "<u2")
-                body["ids"][rows[i], ats[i] : ats[i] + len(ids)] = ids
-                body["n"][rows[i]] = sizes[i]
+                ids = np.frombuffer(unpack.decompress(data.as_buffer()), "<u2")
+                body["ids"][row, : len(ids)] = ids
+                body["n"][row] = len(ids)
         if number is not None:
             yield shard_of(number, body)
 
-    parts = found.join(broadcast_if_small(bases.select("part", "base", "ids_in_part"), MAX_BROADCAST), "part")
-    pieces = parts.select("start", "n", "base", "ids_in_part", "ids").mapInArrow(fragments, "shard long, row int, at int, size int, data binary")
+    placed = found.join(broadcast_if_small(bases.select("part", "base"), MAX_BROADCAST), "part").select("first", "base", "ids").mapInArrow(sequences, "shard long, row int, data binary")
     # slots are spread evenly, so equal ranges of shards are equal work
     ranges = max(1, -(-shards // layout.per_task))
-    dealt = pieces.repartitionById(ranges, F.floor(F.col("shard") / layout.per_task).cast("int")).sortWithinPartitions("shard")
+    dealt = placed.repartitionById(ranges, F.floor(F.col("shard") / layout.per_task).cast("int")).sortWithinPartitions("shard")
     _binary.write_files(dealt.mapInArrow(assemble, "shard long, data binary"), path, by="shard")
     return slots
 
 
-def read_slots(spark: SparkSession, path: str, layout: Layout = Layout(), first: int = 0, count: int | None = None) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, layout: Layout = Layout(), first: int = 0, count: int | None = None, packed: bool = False) -> DataFrame:
     """(slot, sequence, shard, n_tokens, token_ids) of ``count`` slots from ``first``; only their shards are read.
 
     ``sequence`` is the number that the permutation took to the slot. The
-    header and length of each shard are checked.
+    header and length of each shard are checked. ``packed``: ids as bytes, 16
+    bits each, instead of an array.
     """
+    schema = "slot long, sequence long, shard long, n_tokens long, token_ids " + ("binary" if packed else "array<int>")
     last = None if count is None else first + count
     fingerprint = xxhash.xxh3_64_intdigest(struct.pack("<Q", layout.key % (1 << 64)))
     record = np.dtype([("n", "<u4"), ("ids", "<u2", (layout.length,))])
@@ -244,14 +242,18 @@ def read_slots(spark: SparkSession, path: str, layout: Layout = Layout(), first:
                     keep = (at[a : a + 1024] >= first) & (at[a : a + 1024] < (last if last is not None else slots))
                     r, s = rows[a : a + 1024][keep], at[a : a + 1024][keep]
                     sizes = r["n"].astype(np.int64)
+                    if packed:
+                        lists = pa.array([x[: 2 * n].tobytes() for x, n in zip(np.ascontiguousarray(r["ids"]).view(np.uint8), sizes, strict=True)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(order.number(s)), pa.array(np.full(len(s), int(shard))), pa.array(sizes), lists], ["slot", "sequence", "shard", "n_tokens", "token_ids"])
+                        continue
                     flat = r["ids"][np.arange(length)[None, :] < sizes[:, None]].astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(order.number(s)), pa.array(np.full(len(s), int(shard))), pa.array(sizes), lists], ["slot", "sequence", "shard", "n_tokens", "token_ids"])
 
     files = _binary.read_files(spark, path)
     if "shard" not in files.columns:  # no shards
-        return spark.createDataFrame([], "slot long, sequence long, shard long, n_tokens long, token_ids array<int>")
+        return spark.createDataFrame([], schema)
     files = files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= first // layout.per_shard)
     if last is not None:
         files = files.where(F.col("shard") <= (last - 1) // layout.per_shard)
-    return files.mapInArrow(run, "slot long, sequence long, shard long, n_tokens long, token_ids array<int>")
+    return files.mapInArrow(run, schema)
