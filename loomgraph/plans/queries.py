@@ -366,11 +366,11 @@ on(_paths_sql(_DEEP, _back + f" SELECT v.id, round(coalesce(sum(inf), 0), 4) AS
 )
 
 _s = "s AS (SELECT id, coalesce(1 / sqrt(count(vid)), 0) AS s FROM v JOIN inc ON vid = id GROUP BY id), w AS (SELECT inc.hid, vid, attr AS w FROM inc JOIN he USING (hid))"
-# prices end in hundredths: sevenths don't round at ties
+# prices end in hundredths, whose halves would round either way; divided by pi they don't
 on(
-    _s + " SELECT a.vid AS row, b.vid AS col, round(((a.vid = b.vid)::int - 0.5 * sum(a.w * sa.s * sb.s)) / 7, 4) AS seventh FROM w a JOIN w b USING (hid) JOIN s sa ON sa.id = a.vid JOIN s sb ON sb.id = b.vid GROUP BY a.vid, b.vid",
+    _s + " SELECT a.vid AS row, b.vid AS col, round(((a.vid = b.vid)::int - 0.5 * sum(a.w * sa.s * sb.s)) / pi(), 4) AS by_pi FROM w a JOIN w b USING (hid) JOIN s sa ON sa.id = a.vid JOIN s sb ON sb.id = b.vid GROUP BY a.vid, b.vid",
     "laplacian_coo",
-)(lambda g: alg.laplacian(g).select("row", "col", F.round(F.col("value") / 7, 4).alias("seventh")))
+)(lambda g: alg.laplacian(g).select("row", "col", F.round(F.col("value") / F.pi(), 4).alias("by_pi")))
 on(
     _s + ", y AS (SELECT hid, any_value(w) * sum(s * (1 + vid % 7)) AS y FROM w JOIN s ON id = vid GROUP BY hid) SELECT v.id, round(coalesce((1 + v.id % 7) - 0.5 * any_value(s.s) * sum(y), 0), 4) AS y FROM v LEFT JOIN inc ON vid = v.id LEFT JOIN y USING (hid) LEFT JOIN s ON s.id = v.id GROUP BY v.id",
     "laplacian_matvec",
