@@ -107,7 +107,7 @@ def test_lines(spark):
 
 
 def test_quality_rules(spark):
-    good = [(i, " ".join(f"g{i}w{j}" for j in range(60))) for i in range(900)]  # fewer could certify nothing at this level
+    good = [(10_000 + i, " ".join(f"g{i}w{j}" for j in range(60))) for i in range(900)]  # fewer could certify nothing at this level
     junk = [(3000 + i, " ".join(f"J{i}W{j}###" for j in range(60))) for i in range(100)]
     rows = good + junk + [(2000, "a b c " * 40)] + ODD
     labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in junk] + [(None, 1), (5, None)], "doc_id long, quality int")
