@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and the cases that every operator must bear."""
 
 import hashlib
+import random
 import re
 from itertools import combinations
 
@@ -106,6 +107,44 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).isEmpty()
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited_lines():
+    """(words, line, edited line): one word in about 20 replaced, added, left out or misspelt, or a letter in 14 changed."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    for n in (1, 2, 3, 4, 5, 8, 12, 20, 30, 60, 120):
+        for kind in ("replaced", "added", "gone", "misspelt", "letters"):
+            for _ in range(4):
+                words = [word() for _ in range(n)]
+                new = list(words)
+                for at in r.sample(range(n), max(1, n // 20)):
+                    w = new[at]
+                    new[at] = {"replaced": word(), "added": w + " " + word(), "gone": "", "misspelt": w[:-1] + r.choice("xyz") + w[-1], "letters": w}[kind]
+                new = " ".join(w for w in new if w)
+                if kind == "letters":
+                    new = "".join(r.choice("qwz") if c != " " and r.random() < 0.07 else c for c in new)
+                if new and new != " ".join(words):
+                    yield n, " ".join(words), new
+
+
+def test_lines_against_brute_force(spark):
+    cases = list(edited_lines())
+    docs = frame(spark, [x for i, (_, a, b) in enumerate(cases) for x in ((2 * i, a), (2 * i + 1, b))])
+    removed = {r["doc_id"] for r in line_dedup.repeated_lines(docs)[1].collect()}
+    linked = [10 * edit_distance(a, b) <= max(len(a), len(b)) for _, a, b in cases]
+    classes = [(0, 5), (5, 20), (20, 50), (50, 1000)]
+    assert all(sum(x for (n, _, _), x in zip(cases, linked, strict=True) if low <= n < high) >= 10 for low, high in classes)
+    assert removed == {2 * i + 1 for i, x in enumerate(linked) if x}
+
+
 def test_quality_rules(spark):
     good = [(10_000 + i, " ".join(f"g{i}w{j}" for j in range(60))) for i in range(900)]  # fewer could certify nothing at this level
     junk = [(3000 + i, " ".join(f"J{i}W{j}###" for j in range(60))) for i in range(100)]
