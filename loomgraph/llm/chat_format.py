@@ -2,11 +2,13 @@
 
 A conversation becomes windows of whole turns. Prefix sums of the turns' tokens
 cut it: the turns whose sum before them falls in the same multiple of a step
-form a span. Step and history are chosen for each conversation so that the
-system turn, the repeated history, a step and the longest turn fit the budget
-together; only where a system turn and one turn exceed it is a window longer.
-Every window begins with the system turn, then repeats the last turns before
-its span, as far as the history allows. Loss falls on assistant texts of the
+form a span. The step is chosen for each conversation so that the system turn,
+the repeated history, a step and the longest turn fit the budget together. A
+turn too long for a step of a quarter of the history beside it is not counted
+there: it begins a span of its own, with the turns after it that fit. Only where
+a system turn and one turn exceed the budget is a window longer. Every window
+begins with the system turn, then repeats the last turns before its span, as
+far as the history and the room that its own turns leave allow. Loss falls on assistant texts of the
 span alone: each is a target once, repeated ones are masked.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a ``<``
@@ -75,28 +77,40 @@ def windows(turns: DataFrame, budget: Budget = Budget(), tokens: Callable[[Colum
     local = Window.partitionBy("ck", "block").orderBy("turn", "role", "text")
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"rn": F.row_number().over(local), "sum": F.coalesce(F.sum("c").over(before), F.lit(0))}).drop("text")
-    blocks = rows.groupBy("ck", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.max("c").alias("most"), F.min_by(F.struct("role", "c"), "rn").alias("first"))
+    blocks = rows.groupBy("ck", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.min_by(F.struct("role", "c"), "rn").alias("first"))
     whole, earlier = Window.partitionBy("ck"), Window.partitionBy("ck").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = F.min_by("first", "block").over(whole)
     blocks = blocks.select(
         "ck", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"),
-        F.max("most").over(whole).alias("most"), F.when(first["role"] == "system", first["c"]).otherwise(0).alias("system"),
+        (F.lit(budget.tokens) - F.when(first["role"] == "system", first["c"]).otherwise(0)).alias("room"), F.when(first["role"] == "system", first["c"]).otherwise(0).alias("system"),
     )
-    left = F.lit(budget.tokens) - F.col("system") - F.col("most")
-    rows = rows.join(blocks, ["ck", "block"]).withColumns({
-        "ord": F.col("n0") + F.col("rn"),
-        "history": F.least(F.lit(budget.history), F.greatest(left, F.lit(0))),
-    }).withColumn("step", F.greatest(F.lit(1), left - F.col("history")))
+    rows = rows.join(blocks, ["ck", "block"]).withColumn("ord", F.col("n0") + F.col("rn"))
     is_system = (F.col("ord") == 1) & (F.col("role") == "system")
-    rows = rows.withColumns({"sys": is_system, "p": F.when(is_system, 0).otherwise(F.col("c0") + F.col("sum") - F.col("system"))})
-    rows = rows.withColumn("k", F.floor(F.col("p") / F.col("step")))
-    rows = store(rows.select("ck", "conv_id", "k", "ord", "sys", "p", "history", "step", "piece", "head", "body", (F.col("role") == "assistant").alias("target")), "chat-turns")
-    spans = rows.groupBy("ck", "k").agg(F.min("p").alias("from"))
+    fits = F.col("c") <= F.col("room") - budget.history - max(1, budget.history // 4)
+    rows = rows.withColumns({"sys": is_system, "p": F.when(is_system, 0).otherwise(F.col("c0") + F.col("sum") - F.col("system")), "fits": fits, "long": ~is_system & ~fits})
+    rows = store(rows.select("ck", "conv_id", "block", "ord", "sys", "p", "c", "fits", "long", "room", "piece", "head", "body", (F.col("role") == "assistant").alias("target")), "chat-rows")
+    blocks = rows.groupBy("ck", "block").agg(F.count_if("long").alias("longs"), F.max(F.when(F.col("long"), F.col("p"))).alias("long_p"), F.max(F.when(F.col("fits"), F.col("c"))).alias("most"))
+    blocks = blocks.select(
+        "ck", "block", F.coalesce(F.sum("longs").over(earlier), F.lit(0)).alias("longs0"), F.max("long_p").over(earlier).alias("long_p0"), F.coalesce(F.max("most").over(whole), F.lit(0)).alias("most"),
+    )
+    upto = Window.partitionBy("ck", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"longs": F.count_if("long").over(upto), "long_p": F.max(F.when(F.col("long"), F.col("p"))).over(upto)}).join(blocks, ["ck", "block"])
+    rows = rows.withColumns({
+        "longs": F.col("longs0") + F.col("longs"), "long_p": F.coalesce("long_p", "long_p0"), "step": F.greatest(F.lit(1), F.col("room") - F.col("most") - budget.history),
+    })
+    # numbers of spans grow along the conversation, and by one at least where a span of a long turn begins or ends
+    with_long = ~F.col("sys") & ((F.col("p") == F.col("long_p")) | (F.col("p") + F.col("c") - F.col("long_p") <= F.col("room")))
+    k = F.when(with_long, F.floor(F.col("long_p") / F.col("step")) + 2 * F.col("longs") - 1).otherwise(F.floor(F.col("p") / F.col("step")) + 2 * F.col("longs"))
+    rows = store(rows.select("ck", "conv_id", k.alias("k"), "ord", "sys", "p", "c", "room", "piece", "head", "body", "target"), "chat-turns")
+    spans = rows.where("not sys").groupBy("ck", "k").agg(F.min("p").alias("from"), F.least(F.lit(budget.history), F.max("room") - F.sum("c")).alias("history"))
     out = ["ck", "conv_id", "k", "ord", "piece", "head", "body", "target"]
-    again = rows.where("not sys").select(*(c for c in out if c != "k"), "p", "history", F.explode(F.sequence(F.col("k"), F.floor((F.col("p") + F.col("history")) / F.col("step")))).alias("k"), F.col("k").alias("own")).where("k > own")
-    again = again.join(spans, ["ck", "k"]).where(F.col("from") - F.col("p") <= F.col("history")).select(*out)
-    system = rows.where("sys").drop("k").join(spans.where("k > 0").select("ck", "k"), "ck").select(*out)
-    shown = rows.select(*out, F.lit(True).alias("new")).union(again.union(system).withColumn("new", F.lit(False)))
+    cell = max(1, budget.history)
+    at = F.floor(F.col("p") / cell)
+    again = rows.where("not sys").select(*(c for c in out if c != "k"), "p", F.explode(F.array(at, at + 1)).alias("cell"), F.col("k").alias("own"))
+    again = again.join(spans.withColumn("cell", F.floor(F.col("from") / cell)), ["ck", "cell"]).where((F.col("k") > F.col("own")) & (F.col("from") - F.col("p") <= F.col("history"))).select(*out)
+    # of the windows that a system turn opens it is new in the first
+    heads = rows.where("sys").drop("k").join(spans.select("ck", "k", "from"), "ck", "left").withColumns({"k": F.coalesce("k", F.lit(0)), "new": F.coalesce("from", F.lit(0)) == 0})
+    shown = rows.where("not sys").select(*out, F.lit(True).alias("new")).union(again.withColumn("new", F.lit(False))).union(heads.select(*out, "new"))
     placed = shown.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(Window.partitionBy("ck", "k").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     loss = F.when(F.col("new") & F.col("target"), F.struct((F.col("at") + F.col("head")).alias("start"), F.col("body").cast("long").alias("length")))
     # a window's turns are bounded by the budget

@@ -1,6 +1,7 @@
 """WARC archives, token shards, page text and chat windows."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -129,3 +130,20 @@ def test_chat(spark):
         assert got[conv]["loss_chars"] == len(loss) and got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert shown.where("conv_id = 1").count() > 1
     assert chat_format.digests(chat_format.windows(turns.limit(0))).isEmpty()
+
+
+@pytest.mark.parametrize("system", [0, 1])
+@pytest.mark.parametrize("size", [720, 900, 1010, 3000])
+@pytest.mark.parametrize("spot", [0, 20])
+def test_a_long_turn_affects_its_window_only(spark, system, size, spot):
+    """One long question among 40 short turns: no other window is cut shorter, and answers have their questions."""
+    says = [("user", "assistant")[t % 2] + f" says {t} " + "word " * (size - 20 if t == spot else 37) for t in range(40)]
+    rows = [(1, -1, "system", "be good")] * system + [(1, t, ("user", "assistant")[t % 2], x) for t, x in enumerate(says)]
+    got = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect()
+    tokens = lambda x: len(re.findall(r"\w+|[^\w\s]", x))
+    assert len(got) <= 6 and sum(r["n_turns"] - r["n_repeated"] for r in got) == 40 + system
+    for r in got:
+        assert tokens(r["text"]) <= 1024 or says[spot] in r["text"] and r["n_turns"] <= 1 + system
+        for t in (int(x) for start, n in r["loss_spans"] for x in re.findall(r"assistant says (\d+)", r["text"][start : start + n])):
+            assert says[t - 1] in r["text"] or t - 1 == spot and size > 950
+    assert sorted(int(x) for r in got for start, n in r["loss_spans"] for x in re.findall(r"says (\d+)", r["text"][start : start + n])) == list(range(1, 40, 2))
