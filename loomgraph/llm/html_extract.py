@@ -8,7 +8,9 @@ articles share stay. On other pages all remaining blocks are in question, and
 repetition decides: the blocks of all such pages of a host are one token
 stream, its suffixes are sorted, and substrings of ``least`` tokens or more
 that stand in distinct pages cover boilerplate. Of a block that is mostly
-covered only the unique runs stay; a block that is not stays whole.
+covered only the unique runs stay, however short; a block that is not stays
+whole. A block of links alone that is shorter than ``least`` goes if another
+page of the host has it too.
 
 The suffix array of a host is built in slices of bounded size. Each gives one
 row for each class of suffixes that agree in their first ``least`` tokens, with
@@ -61,6 +63,9 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form d
 BODY_CLASSES = frozenset("article article-body article-content article-text articlebody post-body post-content postbody entry-content entry-body story-body story-content".split())
 CONTENT_CLASSES = frozenset("content main main-content maincontent page-content content-body body-content post entry story text".split())
 
+#: Stands before the text of a block that is links alone; other texts never begin with white space.
+LINKS = " "
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -201,7 +206,7 @@ def _parsed(batches):
                 host = None if sure else host_of(url)
                 keys.append(None if sure else xxhash.xxh3_128_digest(f"{host}\0{html}".encode()))
                 hosts.append(host)
-                lists.append(None if sure else [t for level, link, t in found if level == top and not (link and len(t.split()) < 20)])
+                lists.append(None if sure else [LINKS * link + t for level, link, t in found if level == top])
                 sizes.append(None if sure else sum(len(t.split()) + 1 for t in lists[-1]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(keys, pa.binary()), pa.array(hosts, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array(sizes, pa.int64())],
@@ -237,6 +242,17 @@ def _window_keys(tokens: np.ndarray, at: np.ndarray, least: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(tokens[i : i + least].tobytes()) for i in at.tolist()]
 
 
+def _short_links(page_blocks, least: int) -> list[tuple[int, bytes]]:
+    """Where in the token stream blocks of links alone begin that are too short for a window, and a key of each."""
+    out, at = [], 0
+    for b in page_blocks:
+        n = len(b.split())
+        if b.startswith(LINKS) and n < least:
+            out.append((at, xxhash.xxh3_128_digest(b.encode())))
+        at += n + 1
+    return out
+
+
 def _hashed_stream(page_blocks) -> np.ndarray:
     return _vector.hashed(pa.array(tokens_of(page_blocks), pa.string()))
 
@@ -256,7 +272,12 @@ def _classes(least: int):
         starts = np.nonzero(first)[0]
         pages = group["key"].to_numpy()
         low, high = (f.reduceat(owner[ordered], starts) if len(starts) else np.empty(0, np.int64) for f in (np.minimum, np.maximum))
-        return pd.DataFrame({"host": group["host"].iloc[0], "window": _window_keys(flat, ordered[starts], least), "lo": [min(pages[a], pages[b]) for a, b in zip(low, high, strict=True)], "hi": [max(pages[a], pages[b]) for a, b in zip(low, high, strict=True)]})
+        links = [(k, page) for page, b in zip(pages, group["blocks"], strict=True) for _, k in _short_links(b, least)]
+        both = list(zip(low, high, strict=True))
+        return pd.DataFrame({
+            "host": group["host"].iloc[0], "window": _window_keys(flat, ordered[starts], least) + [k for k, _ in links],
+            "lo": [min(pages[a], pages[b]) for a, b in both] + [x for _, x in links], "hi": [max(pages[a], pages[b]) for a, b in both] + [x for _, x in links],
+        })
 
     return run
 
@@ -267,31 +288,39 @@ def _windows(least: int):
             for key, host, page in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
                 flat = _hashed_stream(page)
                 at = np.arange(max(0, len(flat) - least + 1))
+                links = _short_links(page, least)
+                keys, at = _window_keys(flat, at, least) + [k for _, k in links], np.concatenate([at, np.array([-1 - i for i, _ in links], np.int64)])
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array([host] * len(at)), pa.array(_window_keys(flat, at, least), pa.binary()), pa.array(at.astype(np.int32))], ["key", "host", "window", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array([host] * len(at)), pa.array(keys, pa.binary()), pa.array(at.astype(np.int32))], ["key", "host", "window", "at"])
 
     return run
 
 
 def unique_text(page_blocks, at, s: Settings) -> str:
-    """The text of a page's blocks without what the repeated substrings beginning ``at`` cover."""
+    """The text of a page's blocks without what the repeated substrings beginning ``at`` cover.
+
+    ``-1 - i`` in ``at`` stands for a whole block that begins at ``i``.
+    """
     n = sum(len(b.split()) + 1 for b in page_blocks)
     change = np.zeros(n + 1, np.int64)
+    whole = {-1 - i for i in at if i < 0}
     for i in at:
+        if i < 0:
+            continue
         change[i] += 1
         change[min(n, i + s.least)] -= 1
     covered, out, i = np.cumsum(change)[:n] > 0, [], 0
     for b in page_blocks:
         words = b.split()
-        c = covered[i + 1 : i + 1 + len(words)]
+        c, gone = covered[i + 1 : i + 1 + len(words)], i in whole
         i += 1 + len(words)
-        if not len(words):
+        if gone or not len(words):
             continue
         if c.mean() <= s.covered:
-            out.append(b)
+            out.append(b.removeprefix(LINKS))
             continue
         edges = np.nonzero(np.diff(np.concatenate(([True], c, [True])).astype(np.int8)))[0]
-        out += [" ".join(words[a:z]) for a, z in zip(edges[::2], edges[1::2], strict=True) if z - a >= s.least]
+        out += [" ".join(words[a:z]) for a, z in zip(edges[::2], edges[1::2], strict=True)]
     return " ".join(out)
 
 

@@ -105,6 +105,42 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).isEmpty()
 
 
+def brute_text(page, others, least=8):
+    """What stays of a page's blocks (links alone, text) by plain search in the other pages."""
+    stream = lambda p: [w for _, b in p for w in (None, *b.split())]
+    own, seen = stream(page), [stream(p) for p in others]
+    parts = {tuple(t[i : i + least]) for t in seen for i in range(len(t) - least + 1)}
+    covered = {i + j for i in range(len(own) - least + 1) if tuple(own[i : i + least]) in parts for j in range(least)}
+    out, at = [], 0
+    for links, b in page:
+        words = b.split()
+        spots, at = range(at + 1, at + 1 + len(words)), at + 1 + len(words)
+        if links and len(words) < least and any((links, b) in p for p in others):
+            continue
+        mostly = 2 * sum(i in covered for i in spots) > len(words)
+        out += [w for i, w in zip(spots, words, strict=True) if not mostly or i not in covered]
+    return " ".join(out)
+
+
+def test_unmarked_pages_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    shared = [" ".join(f"c{i}n{j}" for j in range(n)) for i, n in enumerate((5, 9, 12, 20, 30))]
+    own = lambda n: " ".join(f"w{r.integers(10**6)}" for _ in range(n))
+    pages = [[(False, shared[3] + " " + own(6)), (True, "Home"), (True, own(4)), (False, own(15)), (True, own(12))]]
+    for _ in range(14):
+        pages.append([])
+        for _ in range(8):
+            some = str(r.choice(shared))
+            text = (own(3) + " " + some, some + " " + own(int(r.integers(1, 9))), own(int(r.integers(1, 30))), some, "Home")[r.integers(5)]
+            pages[-1].append((bool(r.integers(2)) or text == "Home", text))
+    html = ["".join(f"<div><a href=x>{b}</a></div>" if links else f"<div>{b}</div>" for links, b in p) for p in pages]
+    df = spark.createDataFrame([(i, "http://h/" + str(i), x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    want = {i: brute_text(p, [q for q in pages if q is not p]) for i, p in enumerate(pages)}
+    assert len(want[0].split()) == 6 + 4 + 15 + 12
+    for s in (html_extract.Settings(), html_extract.Settings(slice=100)):
+        assert {x["page_id"]: x["text"] for x in html_extract.extract(df, s).collect()} == want
+
+
 def test_suffix_ranks_find_repeated_substrings():
     r = np.random.default_rng(1)
     flat = r.integers(0, 3, 400).astype(np.uint64)
