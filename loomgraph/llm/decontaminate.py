@@ -149,7 +149,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, owner: str = "") -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated row, with their columns unchanged."""
+    """The rows of ``docs`` whose id has no contaminated row, with their columns unchanged.
+
+    Contaminated is a row with 5 % or more of its words hit; passages in fewer
+    words than that stay, in rows that stay whole.
+    """
     found = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__lgd_id")).distinct()
     bad = broadcast_if_small(store(found, "decon-bad", owner), MAX_BROADCAST)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__lgd_id"]), "left_anti")
