@@ -7,9 +7,11 @@ table in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,104 +19,260 @@ from ._common import store
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
-#: Rounds in which members outside a bucket's main component meet another member of it.
-PIVOTS = 2
+#: Members of a bucket up to which all its pairs are candidates: before and after it is cut into cells. Larger ones are linked in rounds.
+SMALL = (24, 128)
+#: A key's low bits: its owner's size, as a number of steps of so much, and above them the place of what gave the key.
+SIZE_BITS, PLACE_BITS, SIZE_STEP = 10, 6, 1.0125
+LOW_BITS = SIZE_BITS + PLACE_BITS
+#: Rounds of contraction to the least neighbour; later ones take the least hash, as chains of rising ids would shrink by one a round.
+PLAIN_ROUNDS = 4
+#: Edges that one task joins by itself; more are contracted in rounds until so few are left.
+FEW_EDGES = 10_000
+
+
+def _joined(batches):
+    """Union-find over at most ``FEW_EDGES`` edges."""
+    of: dict[int, int] = {}
+
+    def root(i):
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            of.setdefault(a, a)
+            of.setdefault(b, b)
+            x, y = root(a), root(b)
+            of[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), pa.array([root(i) for i in of], pa.int64())], ["u", "l"])
 
 
 def components(edges: DataFrame, owner: str = "") -> DataFrame:
     """Stored (id, component) for every id in ``edges`` (a, b); the component is its least id.
 
-    Least labels spread along edges and jump to the label of their label, so
-    that chains halve in each round.
+    Each round contracts every id to its least neighbour and keeps the edges
+    that still join two; stars, which copies make, are gone after one or two.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct()
-    both = store(both, "edges", owner)
-    labels = store(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels", owner)
-    while True:
-        heard = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        nearer = labels.join(heard, "u").select("u", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = nearer.select(F.col("u").alias("l"), F.col("l").alias("to"))
-        new = store(nearer.join(jump, "l").select("u", "old", F.least("l", "to").alias("l")), "labels", owner)
-        if new.where("l <> old").isEmpty():
-            return new.select(F.col("u").alias("id"), F.col("l").alias("component"))
-        labels = new.select("u", "l")
+    at = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", owner)
+    rounds = []
+    while at.limit(FEW_EDGES + 1).count() > FEW_EDGES:
+        ends = at.select(F.col("a").alias("u"), F.col("b").alias("v")).union(at.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        if len(rounds) < PLAIN_ROUNDS:
+            to = F.least("u", F.min("v"))
+        else:
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("i"))
+            to = F.least(rank("u"), F.min(rank("v")))["i"]
+        rounds.append(store(ends.groupBy("u").agg(to.alias("l")), "labels", owner))
+        la, lb = (rounds[-1].select(F.col("u").alias(k), F.col("l").alias(f"l{k}")) for k in "ab")
+        left = at.join(la, "a").join(lb, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        at = store(left, "edges", owner)
+    mixed = len(rounds) > PLAIN_ROUNDS
+    rounds.append(at.coalesce(1).mapInArrow(_joined, "u long, l long"))
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.join(later.select(F.col("u").alias("l"), F.col("l").alias("to")), "l", "left").select("u", F.coalesce("to", "l").alias("l"))
+    if mixed:
+        out = store(out, "labels", owner)
+        out = out.join(out.groupBy("l").agg(F.min("u").alias("least")), "l").select("u", F.col("least").alias("l"))
+    return store(out.select(F.col("u").alias("id"), F.col("l").alias("component")), "components", owner)
+
+
+def size_step(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum((1 << SIZE_BITS) - 1, np.floor(np.log(np.maximum(sizes, 1)) / np.log(SIZE_STEP))).astype(np.uint64)
+
+
+def packed_keys(hashes: np.ndarray, sizes: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """Keys whose high bits are a hash and whose low bits hold the place (0 to 63) and the size step."""
+    low = size_step(sizes) | (0 if places is None else places.astype(np.uint64) << np.uint64(SIZE_BITS))
+    return ((hashes & ~np.uint64((1 << LOW_BITS) - 1)) | low).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Reach:
+    """How far two owners of one key may differ: steps of size, and places."""
+
+    steps: int
+    places: int
+
+    @classmethod
+    def of(cls, size_ratio: float, places: int = 0) -> Reach:
+        return cls(int(np.ceil(-np.log(size_ratio) / np.log(SIZE_STEP))) + 1, places)
+
+    def test(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        size, place = (1 << SIZE_BITS) - 1, (1 << PLACE_BITS) - 1
+        return (np.abs((x & size) - (y & size)) <= self.steps) & (np.abs((x >> SIZE_BITS & place) - (y >> SIZE_BITS & place)) <= self.places)
+
+    def cells(self, entries: DataFrame) -> DataFrame:
+        """(key, id) with every bucket cut into cells of twice the reach, in grids shifted by it, so that any two within reach share a cell."""
+        grids = []
+        for value, reach in ((F.col("key").bitwiseAND((1 << SIZE_BITS) - 1), self.steps), (F.shiftright("key", SIZE_BITS).bitwiseAND((1 << PLACE_BITS) - 1), self.places)):
+            shifts = [F.struct(F.lit(g).alias("g"), F.floor((value + g * reach) / (2 * reach)).cast("long").alias("c")) for g in (0, 1)] if reach else [F.struct(F.lit(0).alias("g"), value.cast("long").alias("c"))]
+            grids.append(F.array(*shifts))
+        low = F.lit((1 << LOW_BITS) - 1).cast("long")
+        cut = entries.withColumn("s", F.explode(grids[0])).withColumn("p", F.explode(grids[1]))
+        key = F.xxhash64(F.shiftright("key", LOW_BITS), "s", "p").bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("key").bitwiseAND(low))
+        return cut.select(key.alias("key"), "id")
 
 
-def stars(entries: DataFrame, allowed=None, owner: str = "") -> tuple[DataFrame, DataFrame]:
-    """Stored (a, b): each member of a bucket with its least id; stored (key, id, n): members of buckets of three or more.
+def _found(pairs, key=None, members=None) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
+    keys, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (key or [], members or []))
+    none = np.zeros(len(a) + len(ids), bool)
+    none[: len(a)] = True
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([np.minimum(a, b), ids])), pa.array(np.concatenate([np.maximum(a, b), ids]), mask=~none), pa.array(np.concatenate([a, keys]), mask=none)], ["a", "b", "key"]
+    )
 
-    ``entries``: (key, id) and, if ``allowed`` is given, ``sig``; ``allowed`` makes
-    of two signature columns the condition that a pair needs. One shuffle deals
-    the entries by key; within a key they are sorted, which can spill.
+
+def _scan(reach: Reach, last_cut: bool):
+    """Candidate pairs of sorted (key, id) rows, and the members of larger buckets; never holds more of a bucket than one batch.
+
+    Of such a bucket, at the last cut, every member is paired with the first
+    and with the one before it.
+    """
+
+    small = SMALL[last_cut]
+
+    def whole(k, i):
+        """Of complete buckets."""
+        b = k >> LOW_BITS
+        starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        n = np.diff(np.concatenate((starts, [len(k)])))
+        pairs, keys, members = [], [], []
+        for size in np.unique(n[n > 1]):
+            own = starts[n == size]
+            if size <= small:
+                x, y = np.triu_indices(size, 1)
+                x, y = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
+                near = reach.test(k[x], k[y])
+                pairs.append((i[x[near]], i[y[near]]))
+            else:
+                for at in own:
+                    crowd(k[at : at + size], i[at : at + size], None, pairs, keys, members)
+        return _found(pairs, keys, members)
+
+    def crowd(k, i, before, pairs, keys, members):
+        """Of (a part of) a crowded bucket; returns its first and its last member, for the next part."""
+        first, last = before or ((k[0], i[0]), (k[0], i[0]))
+        if last_cut:
+            for x, y in ((np.full(len(k), first[0]), np.full(len(k), first[1])), (np.concatenate(([last[0]], k[:-1])), np.concatenate(([last[1]], i[:-1])))):
+                near = reach.test(x, k) & (y != i)
+                pairs.append((y[near], i[near]))
+        keys.append(k)
+        members.append(i)
+        return first, (k[-1], i[-1])
+
+    def run(batches):
+        k, i, before = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in batches:
+            k, i = np.concatenate([k, batch.column("key").to_numpy()]), np.concatenate([i, batch.column("id").to_numpy()])
+            if not len(k):
+                continue
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))  # a line may come from several documents
+            k, i = k[new], i[new]
+            b = k >> LOW_BITS
+            if before is not None:
+                own = int(np.searchsorted(b, before[0][0] >> LOW_BITS, side="right"))
+                if own:
+                    pairs, keys, members = [], [], []
+                    before = crowd(k[:own], i[:own], before, pairs, keys, members)
+                    yield _found(pairs, keys, members)
+                    k, i, b = k[own:], i[own:], b[own:]
+                if not len(k):
+                    continue
+                before = None
+            hold = int(np.searchsorted(b, b[-1]))
+            if hold:
+                yield whole(k[:hold], i[:hold])
+            k, i = k[hold:], i[hold:]
+            if len(k) > small:
+                pairs, keys, members = [], [], []
+                before = crowd(k, i, None, pairs, keys, members)
+                yield _found(pairs, keys, members)
+                k, i = k[:0], i[:0]
+        if len(k) > 1:
+            yield whole(k, i)
+
+    return run
+
+
+def buckets(entries: DataFrame, reach: Reach, owner: str = "") -> tuple[DataFrame, DataFrame]:
+    """Stored candidate pairs (a, b, n), a < b, found ``n`` times, and members (key, id) of buckets that are still crowded.
+
+    ``entries``: (key, id) with :func:`packed_keys`. One shuffle deals them by
+    the high bits of their keys; within a task they are sorted, which can
+    spill, and streamed. All pairs within reach of small buckets are
+    candidates; larger buckets are cut into cells once more.
     """
-    from pyspark.sql import Window
-
-    bucket = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    row = ["id"] + ["sig"] * (allowed is not None)
-    ranked = entries.withColumns({"lead": F.first(F.struct(*row)).over(bucket), "rank": F.row_number().over(Window.partitionBy("key").orderBy("id")), "last": F.lead("id", 2).over(Window.partitionBy("key").orderBy("id"))})
-    held = F.lit(True) if allowed is None else allowed(F.col("sig"), F.col("lead.sig"))
-    # the first of a bucket tells whether there is a third; others follow it
-    third = F.first("last").over(bucket).isNotNull()
-    ranked = ranked.withColumn("third", third).where((F.col("third") | (F.col("rank") > 1)))
-    pair = F.when((F.col("id") > F.col("lead.id")) & held, F.col("lead.id"))
-    ranked = store(ranked.select("key", "id", "third", pair.alias("a")), "buckets", owner)
-    pairs = store(ranked.where("a is not null").select("a", F.col("id").alias("b")).distinct(), "pairs", owner)
-    open_ = ranked.where("third").select("key", "id").distinct()
-    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return pairs, store(open_.join(sizes, "key"), "crowded", owner)
-
-
-def link(
-    tested: DataFrame,
-    open_: DataFrame,
+    spec = "a long, b long, key long"
+    deal = lambda e: e.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "id")
+    found = store(deal(entries).mapInArrow(_scan(reach, False), spec), "buckets", owner)
+    members = lambda f: f.where("key is not null").select("key", F.col("a").alias("id"))
+    cut = store(deal(reach.cells(members(found))).mapInArrow(_scan(reach, True), spec), "cells", owner)
+    pairs = store(found.where("key is null").select("a", "b").union(cut.where("key is null").select("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs", owner)
+    return pairs, members(cut).select(F.shiftright("key", LOW_BITS).alias("key"), "id")
+
+
+def connect(
+    pairs: DataFrame,
+    crowded: DataFrame,
     signatures: DataFrame,
     near: Callable[[np.ndarray, np.ndarray], np.ndarray],
     verify: Callable[[DataFrame], DataFrame],
     owner: str = "",
 ) -> DataFrame:
-    """Stored links (a, b), a < b, enough to connect all that are linked within a bucket.
+    """Stored (id, component) of all that links connect; ids without a link are left out.
 
-    ``tested`` and ``open_``: what :func:`stars` gives. ``signatures`` (id, sig):
-    bytes of equal length. ``near(x, y)``: for two arrays of signatures (last
-    axis: bytes; the others broadcast), a score for each pair, negative where
-    the pair can't be linked. ``verify(pairs)``: the truly linked ones of
+    ``pairs`` and ``crowded``: what :func:`buckets` gives. ``signatures`` (id,
+    sig): bytes of equal length. ``near(x, y)``: for two arrays of signatures
+    (last axis: bytes; the others broadcast), a score for each pair, negative
+    where the pair can't be linked. ``verify(pairs)``: the truly linked ones of
     candidate pairs (a, b).
 
-    First every member was held against its bucket's least id. Groups of copies
-    become few components this way, from as many pairs as members. Of a bucket
-    that still has several, the members outside its largest component are held
-    against other members of that one, ``PIVOTS`` times. What remains outside
-    meets the whole bucket in blocks of ``CHUNK`` by ``CHUNK`` signatures; each
-    such member offers its best few candidates in each other component for
-    exact verification, and the rounds go on, with more candidates each, until
-    none was held back: no pair that could join two components is left out,
-    and pairs within one are never made.
+    First each id meets the one that it shares most buckets with, which makes
+    few components of groups of copies from as many pairs as members. Then only
+    pairs that would join two components are held against each other. Of a
+    crowded bucket that still has several, the members outside its largest
+    component meet the whole bucket in blocks of ``CHUNK`` by ``CHUNK``
+    signatures; each offers its best few candidates in each other component,
+    and the rounds go on, with more candidates each, until none was held back:
+    no pair that could join two components is left out, and pairs within one
+    are never made.
     """
-    links = store(verify(screened(tested, signatures, near)), "links", owner)
-    best, turn = 4, 0
+    first = store(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs", owner)
+    known = components(verify(screened(first, signatures, near)), owner)
+    a, b = (known.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    untested, best = apart.join(first, ["a", "b"], "left_anti"), 4
+    crowded = store(crowded.distinct(), "crowded", owner)
     while True:
-        known = components(links, owner)
-        marked = open_.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        sizes = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
-        marked = store(marked.join(main, "key").withColumn("out", F.col("c") != F.col("main")), "marked", owner)
-        if marked.isEmpty():
-            return links
-        if turn < PIVOTS:
-            pivots = marked.where("not out").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("p"))
-            offered = marked.where("out").join(pivots, "key").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.lit(False).alias("more"))
-        else:
-            offered = _blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best), "a long, b long, more boolean")
-            best *= 16
-        offered = store(offered, "offers", owner)
-        new = store(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs", owner)
-        last = turn >= PIVOTS and offered.where("more").isEmpty()
-        turn += 1
-        if not new.isEmpty():
-            links = store(links.union(verify(screened(new, signatures, near))), "links", owner)
-            tested = store(tested.union(new), "tested", owner)
-        if last:
-            return links
+        offered = _offers(crowded, known, signatures, near, best, owner)
+        more = offered is not None and not offered.where("more").isEmpty()
+        if offered is not None:
+            offered = offered.select("a", "b")
+            untested = offered if untested is None else untested.union(offered)
+        if untested is not None:
+            links = store(verify(screened(untested.distinct(), signatures, near)), "links", owner)
+            if not links.isEmpty():
+                known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), owner)
+        if not more:
+            return known
+        untested, best = None, best * 16
+
+
+def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str) -> DataFrame | None:
+    """Stored (a, b, more): candidates that would join two components of a crowded bucket; none if each bucket has one."""
+    if crowded.isEmpty():
+        return None
+    marked = crowded.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    sizes = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
+    marked = store(marked.join(main, "key").withColumn("out", F.col("c") != F.col("main")), "marked", owner)
+    if marked.isEmpty():
+        return None
+    return store(_blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best), "a long, b long, more boolean").distinct(), "offers", owner)
 
 
 def _blocks(marked: DataFrame) -> DataFrame:

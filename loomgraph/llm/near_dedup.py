@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _vector
 from ._common import broadcast_if_small, store
-from .grouping import components, link, stars
+from .grouping import Reach, buckets, components, connect, packed_keys
 
 MAX_BROADCAST = 500_000
 
@@ -107,11 +107,20 @@ def _signed(p: MinHash):
 
 
 def _sets(p: MinHash):
+    """(id, grams) of the classes that the column ``chosen`` names by their prints."""
+
     def run(batches):
         for batch in batches:
             for part in _vector.pieces(batch, "text"):
-                sets = [g.tobytes() for g in _vector.shingles(*_vector.word_hashes(part.column("text")), p.words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "print", "grams"])
+                ids, sets = [], []
+                for chosen, grams in zip(part.column("chosen").to_pylist(), _vector.shingles(*_vector.word_hashes(part.column("text")), p.words), strict=True):
+                    data = grams.tobytes()
+                    own = xxhash.xxh3_128_digest(data)
+                    for c in chosen:
+                        if c["print"] == own:
+                            ids.append(c["id"])
+                            sets.append(data)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
 
     return run
 
@@ -126,8 +135,8 @@ def _band_keys(p: MinHash):
                 key = np.broadcast_to(np.arange(p.bands, dtype=np.uint64), signs.shape[:2]).copy()
                 for r in range(p.rows):
                     key = _vector.mix(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, :, r] + np.uint64(1))
-            ids = np.repeat(batch.column("id").to_numpy(), p.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+            keys = packed_keys(key, batch.column("n").to_numpy()[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), p.bands))], ["key", "id"])
 
     return run
 
@@ -159,35 +168,37 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), owner: str = "") ->
     words, null or empty, is linked with nothing, nor is a row with a null id
     (its component is null and it is kept). Rows that share an id are versions
     of one document, linked where one of them is; repeated rows fare alike.
-    Other columns are not looked at.
+    Very long texts are taken whole. An empty table gives an empty one. Other
+    columns are not looked at.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store(slim.mapInArrow(_signed(p), "doc_id long, n long, print binary, sig binary"), "signed", owner)
-    classes = store(
-        signed.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes", owner
-    )
-    entries = classes.select("id", "sig").mapInArrow(_band_keys(p), "key long, id long")
-    pairs, crowded = stars(entries, owner=owner)
-    members = pairs.select("a").union(pairs.select("b")).union(crowded.select("id"))
-    wanted = store(members.select(F.col("a").alias("doc_id")).distinct(), "wanted", owner)
-    chosen = slim.join(broadcast_if_small(wanted, MAX_BROADCAST), "doc_id", "left_semi")
-    sets = store(chosen.mapInArrow(_sets(p), "id long, print binary, grams binary").repartition("id").dropDuplicates(["id", "print"]).drop("print"), "sets", owner)
+    full = signed.where("n > 0 and doc_id is not null")
+    classes = full.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes", owner)
+    pairs, crowded = buckets(classes.select("id", "n", "sig").mapInArrow(_band_keys(p), "key long, id long"), Reach.of(p.percent / 100), owner)
+    wanted = store(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct().select(F.col("a").alias("id")), "wanted", owner)
+    wanted = broadcast_if_small(wanted, MAX_BROADCAST)
+    signatures = store(classes.join(wanted, "id", "left_semi").select("doc_id", "print", "id", "sig"), "signatures", owner)
+    chosen = store(signatures.groupBy("doc_id").agg(F.collect_list(F.struct("print", "id")).alias("chosen")), "chosen", owner)  # the texts of one document
+    sets = store(slim.join(broadcast_if_small(chosen, MAX_BROADCAST), "doc_id").select("text", "chosen").mapInArrow(_sets(p), "id long, grams binary").dropDuplicates(["id"]), "sets", owner)
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(p), "a long, b long").distinct()
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(p), "a long, b long")
 
-    signatures = classes.select("id", "sig").join(wanted.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    signatures = store(signatures.dropDuplicates(["id"]), "signatures", owner)
-    known = components(link(pairs, crowded, signatures, posterior_screen(p), verify, owner), owner)
+    known = connect(pairs, crowded, signatures.select("id", "sig"), posterior_screen(p), verify, owner)
     # rows with one id and different texts are linked through the id
-    versions = signed.where("n > 0 and doc_id is not null").join(classes.select("print", "id"), "print").select("doc_id", F.col("id").alias("of")).where("doc_id <> of").distinct()
-    mixed = versions.groupBy("doc_id").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("doc_id")
-    own = versions.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id").union(mixed).distinct()
-    extra = store(versions.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("of").alias("b")), "versions", owner)
+    versions = full.select("doc_id", "print").distinct()
+    several = versions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
+    extra = store(versions.join(several, "doc_id").join(classes.select("print", "id"), "print").select("doc_id", "id"), "versions", owner)
     if not extra.isEmpty():
-        known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(extra), owner)
-    class_of = classes.select("print", "id").join(known, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
+        lead = extra.groupBy("doc_id").agg(F.min("id").alias("a"))
+        known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(extra.join(lead, "doc_id").select("a", F.col("id").alias("b"))), owner)
+    member = classes.select("print", "id", "doc_id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = member.where("component <> id").groupBy("component").agg(F.min("doc_id").alias("other"))
+    least = member.where("component = id").join(least, "component", "left").select("component", F.least("doc_id", "other").alias("component_id"))
+    class_of = member.join(least, "component").select("print", "component_id")
     return signed.join(class_of, "print", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),

@@ -5,10 +5,12 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece
+from loomgraph.llm import decontaminate, grouping, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece
 
 BASE = "the quick brown fox jumps over the lazy dog and then walks home along the river bank in the late evening sun before it sleeps under a tree"
 ODD = [(100, None), (101, ""), (102, "   \n "), (103, "one"), (104, "one"), (104, "one"), (None, "nobody knows this text"), (105, "long " * 30_000)]
@@ -56,6 +58,52 @@ def test_near_duplicates(spark, k):
     assert all(r["n_shingles"] == sizes[r["doc_id"]] for r in got)
 
 
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    x, y = (" ".join(f"{c}{j}" for j in range(50)) for c in "xy")
+    rows = [(5, x), (5, y), (7, x + " more"), (8, y + " more"), (3, y + " and"), (9, "far off")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {5: 3, 7: 3, 8: 3, 3: 3, 9: 9}
+
+
+@pytest.mark.parametrize("few", [grouping.FEW_EDGES, 0])
+def test_components_against_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(grouping, "FEW_EDGES", few)
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(90, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
+    of = {i: i for e in edges if e[0] != e[1] for i in e}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            of[max(root(a), root(b))] = min(root(a), root(b))
+    got = grouping.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == {i: root(i) for i in of} and len(got) == len(of)
+
+
+@pytest.mark.parametrize("small", [grouping.SMALL, (3, 5)])
+def test_buckets_and_links_against_all_pairs(spark, monkeypatch, small):
+    """Numbers linked if they differ by at most 2 stand in crowded buckets with others far off."""
+    monkeypatch.setattr(grouping, "SMALL", small)
+    monkeypatch.setattr(grouping, "CHUNK", 4)
+    r = random.Random(9)
+    ids = sorted(r.sample(range(4000), 300))
+    keys = [(int(k), i) for i in ids for k in grouping.packed_keys(np.array([(1 << 40) * (1 + i % 3), (1 << 40) * 7], np.uint64), np.array([100 + i // 400] * 2))]
+    pairs, crowded = grouping.buckets(spark.createDataFrame(keys, "key long, id long").repartition(3), grouping.Reach(3, 0))
+    near = lambda x, y: np.where(np.abs(np.ascontiguousarray(x).view("<i8")[..., 0] - np.ascontiguousarray(y).view("<i8")[..., 0]) <= 40, 1, -1)
+    signatures = spark.createDataFrame([(i, bytearray(np.int64(i).tobytes())) for i in ids], "id long, sig binary")
+    got = {x["id"]: x["component"] for x in grouping.connect(pairs, crowded, signatures, near, lambda p: p.where("b - a <= 12")).collect()}
+    want, last = {}, None
+    for i in ids:
+        want[i] = want[last] if last is not None and i - last <= 12 else i
+        last = i
+    sizes = {c: sum(x == c for x in want.values()) for c in want.values()}
+    assert got == {i: c for i, c in want.items() if sizes[c] > 1}
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(frame(spark, []), near_dedup.MinHash()).isEmpty()
 
@@ -138,13 +186,28 @@ def edited_lines():
 def test_lines_against_brute_force(spark):
     cases = list(edited_lines())
     docs = frame(spark, [x for i, (_, a, b) in enumerate(cases) for x in ((2 * i, a), (2 * i + 1, b))])
-    removed = {r["doc_id"] for r in line_dedup.repeated_lines(docs)[1].collect()}
+    removed = {r["doc_id"] for r in line_dedup.repeated_lines(docs).collect()}
     linked = [10 * edit_distance(a, b) <= max(len(a), len(b)) for _, a, b in cases]
     classes = [(0, 5), (5, 20), (20, 50), (50, 1000)]
     assert all(sum(x for (n, _, _), x in zip(cases, linked, strict=True) if low <= n < high) >= 10 for low, high in classes)
     assert removed == {2 * i + 1 for i, x in enumerate(linked) if x}
 
 
+def test_normal_lines_of_all_letters():
+    r = random.Random(3)
+    lines = ["".join(r.choices("aZ09 ,.-ÀÉéß×÷ñ–“x中文İ\t_", k=r.randint(0, 12))) for _ in range(3000)] + ["", "  ", "É É", "--"]
+    assert line_dedup.normal(pa.array(lines)).to_pylist() == line_dedup._exactly_normal(pa.array(lines)).to_pylist()
+
+
+def test_within_against_edit_distance():
+    r = random.Random(1)
+    for _ in range(2000):
+        a = "".join(r.choices("abcé", k=r.randint(0, 30)))
+        b = "".join(r.choices("abcé", k=r.randint(0, 30))) if r.random() < 0.4 else "".join(c for c in a if r.random() > 0.1) + r.choice(["", "a", "xy"])
+        most = r.randint(0, 12)
+        assert line_dedup.within(a, b, most) == (edit_distance(a, b) <= most)
+
+
 def test_quality_rules(spark):
     good = [(10_000 + i, " ".join(f"g{i}w{j}" for j in range(60))) for i in range(900)]  # fewer could certify nothing at this level
     junk = [(3000 + i, " ".join(f"J{i}W{j}###" for j in range(60))) for i in range(100)]
