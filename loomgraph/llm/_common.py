@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -56,6 +57,16 @@ def store(df: DataFrame, name: str, owner: str = "") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended.
+
+    It does so only once the driver's garbage collector has found the plans
+    unused, which a driver with little to do may put off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the scratch tables of ``owner``; their readers must have ended."""
     jvm = spark.sparkContext._jvm

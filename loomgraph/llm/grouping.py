@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import free_shuffles, store
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
@@ -209,6 +209,7 @@ def buckets(entries: DataFrame, reach: Reach, owner: str = "") -> tuple[DataFram
     spec = "a long, b long, key long"
     deal = lambda e: e.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "id")
     found = store(deal(entries).mapInArrow(_scan(reach, False), spec), "buckets", owner)
+    free_shuffles(entries.sparkSession)
     members = lambda f: f.where("key is not null").select("key", F.col("a").alias("id"))
     cut = store(deal(reach.cells(members(found))).mapInArrow(_scan(reach, True), spec), "cells", owner)
     pairs = store(found.where("key is null").select("a", "b").union(cut.where("key is null").select("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs", owner)
