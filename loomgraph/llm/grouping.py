@@ -19,8 +19,8 @@ from ._common import free_shuffles, store
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
-#: Members of a bucket up to which all its pairs are candidates: before and after it is cut into cells. Larger ones are linked in rounds.
-SMALL = (24, 128)
+#: Members of a bucket up to which all its pairs are candidates; larger ones are linked in rounds.
+SMALL = 24
 #: A key's low bits: its owner's size, as a number of steps of so much, and above them the place of what gave the key.
 SIZE_BITS, PLACE_BITS, SIZE_STEP = 10, 6, 1.0125
 LOW_BITS = SIZE_BITS + PLACE_BITS
@@ -116,52 +116,52 @@ class Reach:
         return cut.select(key.alias("key"), "id")
 
 
-def _found(pairs, key=None, members=None) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
-    keys, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (key or [], members or []))
-    none = np.zeros(len(a) + len(ids), bool)
-    none[: len(a)] = True
+def _found(pairs, crowds=()) -> pa.RecordBatch:
+    """Rows (a, b) of pairs, and rows (key, b) of members of crowded buckets with up to two others to meet in ``a`` and ``c``."""
+    join = lambda arrays: np.concatenate([np.empty(0, np.int64), *arrays])
+    a, b = (join([p[j] for p in pairs]) for j in (0, 1))
+    key, b2, a2, c2 = (join([c[j] for c in crowds]) for j in range(4))
+    none = np.arange(len(a) + len(key)) < len(a)
+    alone = lambda other: np.concatenate([np.zeros(len(a), bool), other == b2])
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([np.minimum(a, b), ids])), pa.array(np.concatenate([np.maximum(a, b), ids]), mask=~none), pa.array(np.concatenate([a, keys]), mask=none)], ["a", "b", "key"]
-    )
+        [
+            pa.array(np.concatenate([np.minimum(a, b), a2]), mask=alone(a2)), pa.array(np.concatenate([np.maximum(a, b), b2])),
+            pa.array(np.concatenate([a, key]), mask=none), pa.array(np.concatenate([a, c2]), mask=none | alone(c2)),
+        ],
+        ["a", "b", "key", "c"],
+    )
 
 
-def _scan(reach: Reach, last_cut: bool):
+def _scan(reach: Reach):
     """Candidate pairs of sorted (key, id) rows, and the members of larger buckets; never holds more of a bucket than one batch.
 
-    Of such a bucket, at the last cut, every member is paired with the first
-    and with the one before it.
+    A member of such a bucket is to meet the first and the one before it, if within reach.
     """
 
-    small = SMALL[last_cut]
-
     def whole(k, i):
         """Of complete buckets."""
         b = k >> LOW_BITS
         starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         n = np.diff(np.concatenate((starts, [len(k)])))
-        pairs, keys, members = [], [], []
+        pairs, crowds = [], []
         for size in np.unique(n[n > 1]):
             own = starts[n == size]
-            if size <= small:
+            if size <= SMALL:
                 x, y = np.triu_indices(size, 1)
                 x, y = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
                 near = reach.test(k[x], k[y])
                 pairs.append((i[x[near]], i[y[near]]))
             else:
                 for at in own:
-                    crowd(k[at : at + size], i[at : at + size], None, pairs, keys, members)
-        return _found(pairs, keys, members)
+                    crowd(k[at : at + size], i[at : at + size], None, crowds)
+        return _found(pairs, crowds)
 
-    def crowd(k, i, before, pairs, keys, members):
+    def crowd(k, i, before, crowds):
         """Of (a part of) a crowded bucket; returns its first and its last member, for the next part."""
         first, last = before or ((k[0], i[0]), (k[0], i[0]))
-        if last_cut:
-            for x, y in ((np.full(len(k), first[0]), np.full(len(k), first[1])), (np.concatenate(([last[0]], k[:-1])), np.concatenate(([last[1]], i[:-1])))):
-                near = reach.test(x, k) & (y != i)
-                pairs.append((y[near], i[near]))
-        keys.append(k)
-        members.append(i)
+        lead = np.where(reach.test(np.full(len(k), first[0]), k), first[1], i)
+        x, y = np.concatenate(([last[0]], k[:-1])), np.concatenate(([last[1]], i[:-1]))
+        crowds.append((k, i, lead, np.where(reach.test(x, k) & (y != lead), y, i)))
         return first, (k[-1], i[-1])
 
     def run(batches):
@@ -172,26 +172,24 @@ def _scan(reach: Reach, last_cut: bool):
                 continue
             new = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))  # a line may come from several documents
             k, i = k[new], i[new]
-            b = k >> LOW_BITS
+            b, crowds = k >> LOW_BITS, []
             if before is not None:
                 own = int(np.searchsorted(b, before[0][0] >> LOW_BITS, side="right"))
-                if own:
-                    pairs, keys, members = [], [], []
-                    before = crowd(k[:own], i[:own], before, pairs, keys, members)
-                    yield _found(pairs, keys, members)
-                    k, i, b = k[own:], i[own:], b[own:]
+                before = crowd(k[:own], i[:own], before, crowds) if own else None
+                k, i, b = k[own:], i[own:], b[own:]
                 if not len(k):
+                    yield _found([], crowds)
                     continue
                 before = None
             hold = int(np.searchsorted(b, b[-1]))
             if hold:
                 yield whole(k[:hold], i[:hold])
             k, i = k[hold:], i[hold:]
-            if len(k) > small:
-                pairs, keys, members = [], [], []
-                before = crowd(k, i, None, pairs, keys, members)
-                yield _found(pairs, keys, members)
+            if len(k) > SMALL:
+                before = crowd(k, i, None, crowds)
                 k, i = k[:0], i[:0]
+            if crowds:
+                yield _found([], crowds)
         if len(k) > 1:
             yield whole(k, i)
 
@@ -204,16 +202,24 @@ def buckets(entries: DataFrame, reach: Reach, owner: str = "") -> tuple[DataFram
     ``entries``: (key, id) with :func:`packed_keys`. One shuffle deals them by
     the high bits of their keys; within a task they are sorted, which can
     spill, and streamed. All pairs within reach of small buckets are
-    candidates; larger buckets are cut into cells once more.
+    candidates; where places count, larger buckets are cut into cells.
     """
-    spec = "a long, b long, key long"
-    deal = lambda e: e.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "id")
-    found = store(deal(entries).mapInArrow(_scan(reach, False), spec), "buckets", owner)
-    free_shuffles(entries.sparkSession)
-    members = lambda f: f.where("key is not null").select("key", F.col("a").alias("id"))
-    cut = store(deal(reach.cells(members(found))).mapInArrow(_scan(reach, True), spec), "cells", owner)
-    pairs = store(found.where("key is null").select("a", "b").union(cut.where("key is null").select("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs", owner)
-    return pairs, members(cut).select(F.shiftright("key", LOW_BITS).alias("key"), "id")
+
+    def scan(e):
+        dealt = e.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "id")
+        out = store(dealt.mapInArrow(_scan(reach), "a long, b long, key long, c long"), "buckets", owner)
+        free_shuffles(e.sparkSession)
+        return out
+
+    tables = [scan(entries)]
+    if reach.places:
+        tables.append(scan(reach.cells(tables[0].where("key is not null").select("key", F.col("b").alias("id")))))
+    crowded = tables[-1].where("key is not null")
+    pairs = crowded.select(F.least("c", "b"), F.greatest("c", "b")).where("c is not null").union(crowded.select(F.least("a", "b"), F.greatest("a", "b")).where("a is not null")).toDF("a", "b")
+    for t in tables:
+        pairs = pairs.union(t.where("key is null").select("a", "b"))
+    pairs = store(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs", owner)
+    return pairs, crowded.select(F.shiftright("key", LOW_BITS).alias("key"), F.col("b").alias("id"))
 
 
 def connect(
@@ -246,7 +252,7 @@ def connect(
     known = components(verify(screened(first, signatures, near)), owner)
     a, b = (known.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
     apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    untested, best = apart.join(first, ["a", "b"], "left_anti"), 4
+    untested, best = apart.join(first, ["a", "b"], "left_anti"), 16
     crowded = store(crowded.distinct(), "crowded", owner)
     while True:
         offered = _offers(crowded, known, signatures, near, best, owner)
@@ -260,7 +266,7 @@ def connect(
                 known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), owner)
         if not more:
             return known
-        untested, best = None, best * 16
+        untested, best = None, best * 64
 
 
 def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str) -> DataFrame | None:
