@@ -19,8 +19,6 @@ from ._common import free_shuffles, store
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
-#: Members of a bucket up to which all its pairs are candidates; larger ones are linked in rounds.
-SMALL = 24
 #: A key's low bits: its owner's size, as a number of steps of so much, and above them the place of what gave the key.
 SIZE_BITS, PLACE_BITS, SIZE_STEP = 10, 6, 1.0125
 LOW_BITS = SIZE_BITS + PLACE_BITS
@@ -132,7 +130,7 @@ def _found(pairs, crowds=()) -> pa.RecordBatch:
     )
 
 
-def _scan(reach: Reach):
+def _scan(reach: Reach, small: int):
     """Candidate pairs of sorted (key, id) rows, and the members of larger buckets; never holds more of a bucket than one batch.
 
     A member of such a bucket is to meet the first and the one before it, if within reach.
@@ -146,7 +144,7 @@ def _scan(reach: Reach):
         pairs, crowds = [], []
         for size in np.unique(n[n > 1]):
             own = starts[n == size]
-            if size <= SMALL:
+            if size <= small:
                 x, y = np.triu_indices(size, 1)
                 x, y = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
                 near = reach.test(k[x], k[y])
@@ -185,7 +183,7 @@ def _scan(reach: Reach):
             if hold:
                 yield whole(k[:hold], i[:hold])
             k, i = k[hold:], i[hold:]
-            if len(k) > SMALL:
+            if len(k) > small:
                 before = crowd(k, i, None, crowds)
                 k, i = k[:0], i[:0]
             if crowds:
@@ -196,18 +194,18 @@ def _scan(reach: Reach):
     return run
 
 
-def buckets(entries: DataFrame, reach: Reach, owner: str = "") -> tuple[DataFrame, DataFrame]:
+def buckets(entries: DataFrame, reach: Reach, small: int, owner: str = "") -> tuple[DataFrame, DataFrame]:
     """Stored candidate pairs (a, b, n), a < b, found ``n`` times, and members (key, id) of buckets that are still crowded.
 
     ``entries``: (key, id) with :func:`packed_keys`. One shuffle deals them by
     the high bits of their keys; within a task they are sorted, which can
-    spill, and streamed. All pairs within reach of small buckets are
-    candidates; where places count, larger buckets are cut into cells.
+    spill, and streamed. All pairs within reach of buckets of up to ``small``
+    members are candidates; where places count, larger ones are cut into cells.
     """
 
     def scan(e):
         dealt = e.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "id")
-        out = store(dealt.mapInArrow(_scan(reach), "a long, b long, key long, c long"), "buckets", owner)
+        out = store(dealt.mapInArrow(_scan(reach, small), "a long, b long, key long, c long"), "buckets", owner)
         free_shuffles(e.sparkSession)
         return out
 

@@ -24,6 +24,8 @@ from ._common import broadcast_if_small, store
 from .grouping import Reach, buckets, components, connect, packed_keys
 
 MAX_BROADCAST = 500_000
+#: Members of a bucket up to which all its pairs are candidates; copies share many buckets, so few pairs connect them.
+SMALL = 8
 
 
 @dataclass(frozen=True)
@@ -61,10 +63,12 @@ def signature(grams: np.ndarray, n: int) -> np.ndarray:
 def least_matches(p: MinHash) -> tuple[tuple[int, int], ...]:
     """After so many hashes, so many must be equal for a pair to stay.
 
-    With a uniform prior the similarity after m of n equal hashes is
-    Beta(m + 1, n - m + 1), and P(similarity >= t) = P(Binomial(n + 1, t) <= m).
+    With a uniform prior the share of equal hashes after m of n is
+    Beta(m + 1, n - m + 1), and P(share >= t) = P(Binomial(n + 1, t) <= m).
+    Compared are single bytes, of which unequal hashes share one in 256.
     """
     t, out = p.percent / 100, []
+    t += (1 - t) / 256
     for n in [*range(p.batch, p.hashes, p.batch), p.hashes]:
         total, m = 0.0, -1
         while total < p.miss and m < n:
@@ -76,7 +80,6 @@ def least_matches(p: MinHash) -> tuple[tuple[int, int], ...]:
 
 def posterior_screen(p: MinHash):
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        x, y = np.ascontiguousarray(x).view(np.uint32), np.ascontiguousarray(y).view(np.uint32)
         score = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.int32)
         alive, done = np.ones(score.shape, bool), 0
         for n, least in least_matches(p):
@@ -96,12 +99,16 @@ def _signed(p: MinHash):
     def run(batches):
         for batch in batches:
             for part in _vector.pieces(batch, "text"):
-                n, prints, signs = [], [], []
+                n, prints, signs, screens = [], [], [], []
                 for grams in _vector.shingles(*_vector.word_hashes(part.column("text")), p.words):
                     n.append(len(grams))
                     prints.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                    signs.append(signature(grams, p.hashes).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n", "print", "sig"])
+                    mins = signature(grams, p.hashes) if len(grams) else None
+                    signs.append(_bands(mins, p).tobytes() if len(grams) else None)
+                    screens.append(_vector.mix(mins.astype(np.uint64)).astype(np.uint8).tobytes() if len(grams) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary()), pa.array(screens, pa.binary())], ["doc_id", "n", "print", "bands", "sig"]
+                )
 
     return run
 
@@ -125,16 +132,22 @@ def _sets(p: MinHash):
     return run
 
 
+def _bands(mins: np.ndarray, p: MinHash) -> np.ndarray:
+    """A hash of each band."""
+    rows = mins.reshape(p.bands, p.rows).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        key = np.arange(p.bands, dtype=np.uint64)
+        for r in range(p.rows):
+            key = _vector.mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r] + np.uint64(1))
+    return key
+
+
 def _band_keys(p: MinHash):
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            signs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(batch), p.bands, p.rows).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(p.bands, dtype=np.uint64), signs.shape[:2]).copy()
-                for r in range(p.rows):
-                    key = _vector.mix(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, :, r] + np.uint64(1))
+            key = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64).reshape(len(batch), p.bands)
             keys = packed_keys(key, batch.column("n").to_numpy()[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), p.bands))], ["key", "id"])
 
@@ -172,11 +185,11 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), owner: str = "") ->
     columns are not looked at.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = store(slim.mapInArrow(_signed(p), "doc_id long, n long, print binary, sig binary"), "signed", owner)
+    signed = store(slim.mapInArrow(_signed(p), "doc_id long, n long, print binary, bands binary, sig binary"), "signed", owner)
     full = signed.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = full.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes", owner)
-    pairs, crowded = buckets(classes.select("id", "n", "sig").mapInArrow(_band_keys(p), "key long, id long"), Reach.of(p.percent / 100), owner)
+    pairs, crowded = buckets(classes.select("id", "n", "bands").mapInArrow(_band_keys(p), "key long, id long"), Reach.of(p.percent / 100), SMALL, owner)
     wanted = store(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct().select(F.col("a").alias("id")), "wanted", owner)
     wanted = broadcast_if_small(wanted, MAX_BROADCAST)
     signatures = store(classes.join(wanted, "id", "left_semi").select("doc_id", "print", "id", "sig"), "signatures", owner)

@@ -84,15 +84,14 @@ def test_components_against_union_find(spark, monkeypatch, few):
     assert {r["id"]: r["component"] for r in got} == {i: root(i) for i in of} and len(got) == len(of)
 
 
-@pytest.mark.parametrize(("small", "places"), [(grouping.SMALL, 0), (3, 2)])
+@pytest.mark.parametrize(("small", "places"), [(24, 0), (3, 2)])
 def test_buckets_and_links_against_all_pairs(spark, monkeypatch, small, places):
     """Numbers linked if they differ by at most 2 stand in crowded buckets with others far off."""
-    monkeypatch.setattr(grouping, "SMALL", small)
     monkeypatch.setattr(grouping, "CHUNK", 100)
     r = random.Random(9)
     ids = sorted(r.sample(range(4000), 300))
     keys = [(int(k), i) for i in ids for k in grouping.packed_keys(np.array([(1 << 40) * (1 + i % 3), (1 << 40) * 7], np.uint64), np.array([100 + i // 400] * 2))]
-    pairs, crowded = grouping.buckets(spark.createDataFrame(keys, "key long, id long").repartition(3), grouping.Reach(3, places))
+    pairs, crowded = grouping.buckets(spark.createDataFrame(keys, "key long, id long").repartition(3), grouping.Reach(3, places), small)
     near = lambda x, y: np.where(np.abs(np.ascontiguousarray(x).view("<i8")[..., 0] - np.ascontiguousarray(y).view("<i8")[..., 0]) <= 40, 1, -1)
     signatures = spark.createDataFrame([(i, bytearray(np.int64(i).tobytes())) for i in ids], "id long, sig binary")
     got = {x["id"]: x["component"] for x in grouping.connect(pairs, crowded, signatures, near, lambda p: p.where("b - a <= 12")).collect()}
