@@ -117,11 +117,11 @@ FROM said JOIN size ON said.conv_id IS NOT DISTINCT FROM size.conv_id
 
 OP3 = """
 WITH p AS (
-  SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::bigint AS n FROM pages
+  SELECT page_id, url, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::bigint AS n FROM pages
 ), r AS (
   SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1
 ), t AS (
   SELECT p.*, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN r USING (digest)
 )
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM t
+SELECT page_id, url, n AS payload_bytes, digest AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM t
 """

@@ -30,7 +30,7 @@ def op2_line_dedup(spark, sf_dir):
 def op3_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     warc.write_archives(read_table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, path).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_sentencepiece(spark, sf_dir, model_path=sp.DEFAULT_MODEL):

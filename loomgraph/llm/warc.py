@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Stands in records whose URL has control characters or white space at an end: they and ``%`` are percent codes there. Others are as they are.
+ESCAPED = "X-Target-URI-Escaped"
 #: Rows (a digest and an id) that may be broadcast: 40 MB or so.
 MAX_BROADCAST = 500_000
 
@@ -51,9 +54,17 @@ def sha1_label(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _clean(value: str) -> str:
-    """A header value on one line: control characters and the percent sign as percent codes."""
-    return "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in value)
+def _odd(url: str) -> bool:
+    """Whether a header line would not bring the URL back as it is."""
+    return url != url.strip() or any(c < " " or c == "\x7f" for c in url)
+
+
+def _escaped(url: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c <= " " or c in "%\x7f" else c for c in url)
+
+
+def _unescaped(value: str) -> str:
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
 
 
 def record_id(page_id: int | None) -> str:
@@ -72,7 +83,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     block = http if refers_to is not None else http + payload
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
     if url is not None:
-        head.append(("WARC-Target-URI", _clean(url)))
+        head += [("WARC-Target-URI", _escaped(url)), (ESCAPED, "percent")] if _odd(url) else [("WARC-Target-URI", url)]
     if refers_to is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
     head += [("WARC-Payload-Digest", digest), ("WARC-Block-Digest", sha1_label(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -128,11 +139,13 @@ def parse_record(data: bytes) -> dict:
         refers_to, payload = _page(head["warc-refers-to"]), None
     else:
         raise WarcError(f"type {kind[:40]}")
+    url = head.get("warc-target-uri")
+    url = _unescaped(url) if url is not None and ESCAPED.lower() in head else url
     label = head.get("warc-payload-digest") or sha1_label(payload)
     if not label.startswith("sha1:"):
         raise WarcError(f"digest {label[:40]}")
     return {
-        "page_id": _page(head["warc-record-id"]), "url": head.get("warc-target-uri"), "record_type": kind, "refers_to": refers_to,
+        "page_id": _page(head["warc-record-id"]), "url": url, "record_type": kind, "refers_to": refers_to,
         "payload_bytes": int(size), "payload_digest": base64.b32decode(label[5:]).hex(), "payload": payload,
     }
 

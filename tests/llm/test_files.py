@@ -28,6 +28,12 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, empty).isEmpty()
 
 
+@pytest.mark.parametrize("url", ["http://a/b%20c?d=%0A", "http://ä.example/ü", "http://a/b c", " http://a\r\nb%41", "", None])
+def test_warc_keeps_urls(url):
+    record = warc.make_record(1, url, b"x", warc.sha1_label(b"x"), None, "2024-01-01T00:00:00Z")
+    assert warc.parse_record(record)["url"] == url
+
+
 def test_warc_faults():
     record = warc.make_record(1, "http://a", b"hello", warc.sha1_label(b"hello"), None, "2024-01-01T00:00:00Z")
     assert warc.parse_record(record)["payload"] == b"hello"
