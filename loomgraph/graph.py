@@ -156,6 +156,10 @@ class Hypergraph:
         broken = self.incidence.join(self.vertices.where(~F.coalesce(vertex, F.lit(False))).select(F.col("id").alias("vid")), "vid", "left_semi").select("hid").distinct()
         return kept.join(broken, "hid", "left_anti")
 
+    def filter_tuples(self, where: Column) -> DataFrame:
+        """Hyperedges for which ``where`` holds over their tuple: the attributes of every vertex of a side stand in it by id."""
+        return self.hyperedges.join(self.tuples.where(where).select("hid"), "hid", "left_semi")
+
     def subgraph(self, hyperedge: Column | None = None, every_vertex: Column | None = None, vertex: Column | None = None) -> Hypergraph:
         """Vertices by ``vertex``; hyperedges by ``hyperedge`` and ``every_vertex``, apart from each other: hyperedges keep all members."""
         return Hypergraph(self.vertices if vertex is None else self.vertices.where(vertex), self.filter_hyperedges(hyperedge, every_vertex))
@@ -252,24 +256,31 @@ class Hypergraph:
         # partial aggregation combines the messages before the shuffle
         return self.align(rows.groupBy("id").agg(merge(F.col("msg")).alias("msg")))
 
-    def map_reduce_tuples_pandas(self, f, schema: str, merge: Agg) -> DataFrame:
-        """For message functions that columns can't express: ``f`` maps frames of :attr:`tuples` to frames (id, msg)."""
-        return self.align(self.tuples.mapInPandas(f, schema).groupBy("id").agg(merge(F.col("msg")).alias("msg")))
+    def map_reduce_tuples_pandas(self, f, schema: str, merge: Agg, active: DataFrame | None = None, direction: Direction = Direction.EITHER) -> DataFrame:
+        """For message functions that columns can't express: ``f`` maps frames of :attr:`tuples` to frames (id, msg), any message to any vertex.
+
+        Only hyperedges that ``active`` (id) selects are mapped, with all their members.
+        """
+        part = self
+        if active is not None:
+            part = Hypergraph(self.vertices, self.hyperedges.join(self.active_hyperedges(active, direction), "hid", "left_semi"))
+        return self.align(part.tuples.mapInPandas(f, schema).groupBy("id").agg(merge(F.col("msg")).alias("msg")))
 
 
 def dense_rank_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """Number the rows 0, 1, ... in the order of a unique long ``key``, without one task for all rows.
 
-    Ranges of keys are counted, the counts are summed up, and rows are numbered
-    within their range.
+    Rows are sorted in ranges of nearly equal size, whatever the spread of the
+    keys; the counts of the ranges are summed up.
     """
-    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.greatest(F.lit(1), F.ceil(F.col("n") / 100_000))))
-    ranged = df.crossJoin(F.broadcast(bounds.select("lo", width.alias("width")))).withColumn("range", F.floor((F.col(key) - F.col("lo")) / F.col("width")))  # one row
+    from .plans.lineage import Rounds
+
+    low = F.lit((1 << 33) - 1)  # a monotonic id is the number of the range and, below it, that of the row
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
+    ranged = Rounds(df.sparkSession).cut(ranged).withColumn("range", F.shiftright("at", 33))
     counts = ranged.groupBy("range").count()
     before = counts.select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    at = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
-    return ranged.withColumn("at", at).join(before, "range").withColumn(name, F.col("before") + F.col("at")).drop("lo", "width", "range", "at", "before")
+    return ranged.join(F.broadcast(before), "range").withColumn(name, F.col("before") + F.col("at").bitwiseAND(low)).drop("range", "at", "before")  # a row for each range
 
 
 def with_ids(rows: DataFrame) -> DataFrame:

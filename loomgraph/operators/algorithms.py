@@ -85,7 +85,9 @@ def shortest_paths(g: Hypergraph, landmarks: DataFrame, rounds: Rounds, steps: D
         if level.isEmpty():
             return levels
         levels.append(level)
-        seen = seen.union(level.select("lm", "id"))  # reads of stored tables, one for each distance
+        seen = seen.union(level.select("lm", "id"))
+        if len(levels) % 4 == 0:  # else each round reads one table more
+            seen = rounds.cut(seen)
 
 
 def betweenness(g: Hypergraph, landmarks: DataFrame | None = None, standard: bool = False, seed: int = 0) -> DataFrame:

@@ -15,8 +15,8 @@ from ..graph import Hypergraph, dense_rank_by
 
 @dataclass(frozen=True)
 class Costs:
-    degree: float = 10.0
-    replica: float = 5.0
+    degree: float = 5.0
+    replica: float = 10.0
     demand: float = 1.0
 
 

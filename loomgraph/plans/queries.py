@@ -179,15 +179,18 @@ on("SELECT hid, array_to_string(dst, ' ') AS src, array_to_string(src, ' ') AS d
 on("SELECT hid, row_number() OVER (ORDER BY hid) - 1 AS number FROM he", "assign_hyperedge_id")(lambda g: g.assign_hyperedge_id().hyperedges.select("hid", F.col("attr").cast("long").alias("number")))
 on("SELECT hid, 1.0::double AS attr FROM he", "to_double_weight", seven, FIX7)(lambda g: g.to_double_weight().hyperedges.select("hid", "attr"))
 on("SELECT row_number() OVER (ORDER BY hid) - 1 AS hid, attr AS weight FROM he", "hyperedge_id_weight")(lambda g: g.hyperedge_weights().select(F.col("hid").cast("long").alias("hid"), "weight"))
-on("SELECT key, count(*) AS value FROM (SELECT unnest([id % 3, id % 5 + 10]) AS key FROM v WHERE attr > 1000) GROUP BY key", "map_reduce_vertices")(
-    lambda g: g.map_reduce_vertices(F.array(F.struct((F.col("id") % 3).alias("key"), F.lit(1).alias("value")), F.struct((F.col("id") % 5 + 10).alias("key"), F.lit(1).alias("value"))), F.sum, F.col("attr") > 1000)
+on("SELECT key, count(*) AS value FROM (SELECT unnest([id % 3, id % 5 + 10]) AS key FROM v WHERE attr > 910) GROUP BY key", "map_reduce_vertices")(
+    lambda g: g.map_reduce_vertices(F.array(F.struct((F.col("id") % 3).alias("key"), F.lit(1).alias("value")), F.struct((F.col("id") % 5 + 10).alias("key"), F.lit(1).alias("value"))), F.sum, F.col("attr") > 910)
 )
 
 # filters
 
-on("SELECT id, attr FROM v WHERE attr > 1000", "vertex_filter")(lambda g: g.filter_vertices(F.col("attr") > 1000))
+on("SELECT id, attr FROM v WHERE attr > 910", "vertex_filter")(lambda g: g.filter_vertices(F.col("attr") > 910))
 _kept = "he WHERE len(src) >= 2 AND hid NOT IN (SELECT hid FROM inc JOIN v ON vid = id WHERE NOT v.attr > 950)"
 on(FLAT + _kept, "hyperedge_filter")(lambda g: flat(g.filter_hyperedges(F.size("src") >= 2, F.col("attr") > 950)))
+on(FLAT + "he WHERE hid IN (SELECT hid FROM inc JOIN v ON vid = id GROUP BY hid HAVING bool_or(is_src AND v.attr > 915) AND sum(v.attr) FILTER (NOT is_src) < 2500)", "hyperedge_filter_side")(
+    lambda g: flat(g.filter_tuples(F.exists(F.map_values("src_attr"), lambda a: a > 915) & (F.aggregate(F.map_values("dst_attr"), F.lit(0.0), lambda x, a: x + a) < 2500)))
+)
 on("SELECT 'v' AS kind, id FROM v WHERE id % 3 = 0 UNION ALL SELECT 'h', hid FROM " + _kept, "subgraph")(lambda g: _members(g.subgraph(F.size("src") >= 2, F.col("attr") > 950, F.col("id") % 3 == 0)))
 on("SELECT id, v.attr FROM v JOIN (SELECT vid, count(*) AS n FROM inc GROUP BY vid) ON vid = id WHERE n > 25", "filter_preprocess")(
     lambda g: g.filter(lambda h: h.outer_join_vertices(deg.incidents(h).withColumnRenamed("incidents", "attr"), F.coalesce("other_attr", F.lit(0))), vertex=F.col("attr") > 25).vertices
@@ -256,6 +259,21 @@ def _all_sources(frames):
 
 on(_MRT.format(m="sum(attr) FILTER (is_src)", where=""), "mrt_pandas")(lambda g: g.map_reduce_tuples_pandas(_all_sources, "id long, msg double", F.sum).select("id", F.round("msg", 4).alias("msg")))
 
+
+
+def _weighted(frames):
+    """To every destination another message: the sources' sum times a number of its own."""
+    for t in frames:
+        rows = [(int(v), float(sum(s.values())) * (int(v) % 7 + 1)) for s, d in zip(t["src_attr"], t["dst_attr"], strict=True) for v in d]
+        import pandas as pd
+
+        yield pd.DataFrame(rows, columns=["id", "msg"])
+
+
+on(_selected["out"][0] + _MRT.format(m="sum(attr) FILTER (is_src)", where="AND hid IN (SELECT hid FROM act)").replace("sum(m)", "sum(m * (vid % 7 + 1))"), "mrt_per_vertex")(
+    lambda g: g.map_reduce_tuples_pandas(_weighted, "id long, msg double", F.sum, g.vertices.where("id % 10 = 0").select("id"), OUT).select("id", F.round("msg", 4).alias("msg"))
+)
+
 # degrees
 
 _pairs = {"in": "p AS (SELECT DISTINCT d.vid AS id, s.vid AS other FROM inc s JOIN inc d USING (hid) WHERE s.is_src AND NOT d.is_src)", "out": "p AS (SELECT DISTINCT s.vid AS id, d.vid AS other FROM inc s JOIN inc d USING (hid) WHERE s.is_src AND NOT d.is_src)", "": "p AS (SELECT DISTINCT a.vid AS id, b.vid AS other FROM inc a JOIN inc b USING (hid) WHERE a.is_src <> b.is_src)"}

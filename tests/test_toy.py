@@ -138,3 +138,15 @@ def test_linalg(spark):
     got = {r[0]: r[1] for r in linalg.sliding(spark.range(5).select("id", (F.col("id") * 10).alias("x")), "x", "id", 3).collect()}
     assert got == {0: [0, 10, 20], 1: [10, 20, 30], 2: [20, 30, 40]}
     assert linalg.sliding(spark.range(2), "id", "id", 3).isEmpty()
+
+
+def test_dense_rank_of_unevenly_spread_keys(spark):
+    from loomgraph.graph import dense_rank_by
+
+    keys = [*range(50), 10**15, -(10**15)]
+    got = dense_rank_by(spark.createDataFrame([(k,) for k in keys], "k long"), "k", "n").collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: r["k"])] == list(range(len(keys)))
+
+
+def test_default_costs():
+    assert partitioning.Costs() == partitioning.Costs(degree=5, replica=10, demand=1)
