@@ -241,16 +241,16 @@ def connect(
     pairs that would join two components are held against each other. Of a
     crowded bucket that still has several, the members outside its largest
     component meet the whole bucket in blocks of ``CHUNK`` by ``CHUNK``
-    signatures; each offers its best few candidates in each other component,
-    and the rounds go on, with more candidates each, until none was held back:
-    no pair that could join two components is left out, and pairs within one
-    are never made.
+    signatures; each offers its best candidate in another component, and the
+    rounds go on, with eight times as many each, until none was held back: no
+    pair that could join two components is left out, and pairs within one are
+    never made.
     """
     first = store(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs", owner)
     known = components(verify(screened(first, signatures, near)), owner)
     a, b = (known.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
     apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    untested, best = apart.join(first, ["a", "b"], "left_anti"), 16
+    untested, best = apart.join(first, ["a", "b"], "left_anti"), 1
     crowded = store(crowded.distinct(), "crowded", owner)
     while True:
         offered = _offers(crowded, known, signatures, near, best, owner)
@@ -264,7 +264,7 @@ def connect(
                 known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), owner)
         if not more:
             return known
-        untested, best = None, best * 64
+        untested, best = None, best * 8
 
 
 def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str) -> DataFrame | None:
@@ -302,9 +302,9 @@ def _offer(near, best: int):
         if not len(p):
             return empty
         a, b = x["id"].to_numpy()[p], y["id"].to_numpy()[q]
-        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "x": p, "c": y["c"].to_numpy()[q], "s": score[p, q]})
+        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "x": p, "s": score[p, q]})
         found = found.sort_values(["s", "a", "b"], ascending=[False, True, True])
-        kept = found.groupby(["x", "c"], sort=False).head(best)
+        kept = found.groupby("x", sort=False).head(best)
         return kept[["a", "b"]].assign(more=len(kept) < len(found))
 
     return offer
