@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("benchmark_decontamination", decontamination), ("sentencepiece", tokens)]
 
-#: Connected components and unigram segmentation are beyond SQL; the tests hold run() against a brute-force version.
+#: Connected components and unigram segmentation are beyond SQL; the tests hold run() to what planted documents must give; there is no brute-force version of it.
 ORACLE_SQL = None
 
 
