@@ -36,18 +36,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed(values: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings; each distinct one is hashed once."""
+def hashed(values: pa.Array, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of strings, with A-Z lower-cased if ``lower``; each distinct one is hashed once."""
     coded = pc.dictionary_encode(values)
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    table = np.fromiter((xxhash.xxh3_64_intdigest(x.lower() if lower else x) for x in distinct), np.uint64, len(distinct))
     return table[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.uint64)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the white-space separated words, A-Z lower-cased, of all texts, and where each text's begin and end."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(as_string(texts)))
+    # pyarrow 23 garbles what ascii_lower makes of a slice that was cast, so distinct words are lower-cased instead
+    lists = pc.ascii_split_whitespace(as_string(texts))
     values = lists.flatten()
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -55,7 +57,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not full.all():  # white space at an end of a text
         values = values.filter(pa.array(full))
         offsets = np.concatenate(([0], np.cumsum(full)))[offsets]
-    return hashed(values), offsets
+    return hashed(values, lower=True), offsets
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, grouping, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece
+from loomgraph.llm import _vector, decontaminate, grouping, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece
 
 BASE = "the quick brown fox jumps over the lazy dog and then walks home along the river bank in the late evening sun before it sleeps under a tree"
 ODD = [(100, None), (101, ""), (102, "   \n "), (103, "one"), (104, "one"), (104, "one"), (None, "nobody knows this text"), (105, "long " * 30_000)]
@@ -103,6 +103,18 @@ def test_buckets_and_links_against_all_pairs(spark, monkeypatch, small, places):
     assert got == {i: c for i, c in want.items() if sizes[c] > 1}
 
 
+def test_shingles_of_every_piece_of_a_batch():
+    texts = [f"Ab {i} Çd AB {i}\n" * (i % 9) + " Éf" for i in range(500)] + [None, "", " "]
+    for valid in (True, False):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts if valid else [t or "" for t in texts], pa.string())], ["text"])
+        parts = list(_vector.pieces(batch, "text", 3_000))
+        assert len(parts) > 3
+        got = [g for part in parts for g in _vector.shingles(*_vector.word_hashes(part.column("text")), 2)]
+        alone = [g for t in texts for g in _vector.shingles(*_vector.word_hashes(pa.array([t], pa.string())), 2)]
+        assert [len(g) for g in got] == [len(shingles(t, 2)) for t in texts]
+        assert all(np.array_equal(x, y) for x, y in zip(got, alone, strict=True))
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(frame(spark, []), near_dedup.MinHash()).isEmpty()
 
