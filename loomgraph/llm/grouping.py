@@ -19,6 +19,8 @@ from ._common import free_shuffles, store
 
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
+#: Pairs of signatures that are held against each other at a time.
+PAIRS = 20_000
 #: A key's low bits: its owner's size, as a number of steps of so much, and above them the place of what gave the key.
 SIZE_BITS, PLACE_BITS, SIZE_STEP = 10, 6, 1.0125
 LOW_BITS = SIZE_BITS + PLACE_BITS
@@ -227,6 +229,8 @@ def connect(
     near: Callable[[np.ndarray, np.ndarray], np.ndarray],
     verify: Callable[[DataFrame], DataFrame],
     owner: str = "",
+    narrower: Callable[[DataFrame], DataFrame] | None = None,
+    fits: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Stored (id, component) of all that links connect; ids without a link are left out.
 
@@ -245,6 +249,10 @@ def connect(
     rounds go on, with eight times as many each, until none was held back: no
     pair that could join two components is left out, and pairs within one are
     never made.
+
+    ``narrower(ids)`` gives other buckets (key, id, ...) for the members of
+    those that have several components: any two that can be linked must share
+    one in which ``fits(x, y)`` holds, for rows x and columns y of a block.
     """
     first = store(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs", owner)
     known = components(verify(screened(first, signatures, near)), owner)
@@ -252,8 +260,13 @@ def connect(
     apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     untested, best = apart.join(first, ["a", "b"], "left_anti"), 1
     crowded = store(crowded.distinct(), "crowded", owner)
+    if narrower is not None and not crowded.isEmpty():
+        marked = crowded.join(known, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        ids = store(crowded.join(mixed.select("key"), "key", "left_semi").select("id").distinct(), "mixed", owner)
+        crowded = store(narrower(ids), "crowded", owner)
     while True:
-        offered = _offers(crowded, known, signatures, near, best, owner)
+        offered = _offers(crowded, known, signatures, near, best, owner, fits)
         more = offered is not None and not offered.where("more").isEmpty()
         if offered is not None:
             offered = offered.select("a", "b")
@@ -267,42 +280,50 @@ def connect(
         untested, best = None, best * 8
 
 
-def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str) -> DataFrame | None:
+def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str, fits=None) -> DataFrame | None:
     """Stored (a, b, more): candidates that would join two components of a crowded bucket; none if each bucket has one."""
     if crowded.isEmpty():
         return None
-    marked = crowded.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    marked = crowded.join(known, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     sizes = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
     marked = store(marked.join(main, "key").withColumn("out", F.col("c") != F.col("main")), "marked", owner)
     if marked.isEmpty():
         return None
-    return store(_blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best), "a long, b long, more boolean").distinct(), "offers", owner)
+    return store(_blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best, fits), "a long, b long, more boolean").distinct(), "offers", owner)
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
     """Deal every bucket's members outside its main component (x), and all its members (y), to blocks."""
     nx, ny = F.ceil(F.col("outside") / F.lit(CHUNK)).cast("int"), F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
     i, j = F.pmod(F.xxhash64("id"), nx).cast("int"), F.pmod(F.xxhash64("id"), ny).cast("int")
-    x = marked.where("out").select("key", "id", "c", F.lit(True).alias("x"), i.alias("i"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("j"))
-    y = marked.select("key", "id", "c", F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0), nx - 1)).alias("i"), j.alias("j"))
+    own = [c for c in marked.columns if c not in ("main", "n", "outside", "out")]
+    x = marked.where("out").select(*own, F.lit(True).alias("x"), i.alias("i"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("j"))
+    y = marked.select(*own, F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0), nx - 1)).alias("i"), j.alias("j"))
     return x.union(y)
 
 
-def _offer(near, best: int):
+def _offer(near, best: int, fits=None):
     def offer(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["x"]], group[~group["x"]]
         empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "more": np.empty(0, bool)})
         if not len(x) or not len(y):
             return empty
         rows = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
-        score = near(rows(x["sig"])[:, None], rows(y["sig"])[None])
-        score[x["c"].to_numpy()[:, None] == y["c"].to_numpy()[None, :]] = -1
-        p, q = np.nonzero(score >= 0)
+        apart = x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]
+        if fits is None:
+            score = near(rows(x["sig"])[:, None], rows(y["sig"])[None])
+            p, q = np.nonzero(apart & (score >= 0))
+            score = score[p, q]
+        else:
+            p, q = np.nonzero(apart & fits(x, y))
+            sx, sy = rows(x["sig"]), rows(y["sig"])
+            score = np.concatenate([np.empty(0, np.int32), *(near(sx[p[k : k + PAIRS]], sy[q[k : k + PAIRS]]) for k in range(0, len(p), PAIRS))])
+            p, q, score = p[score >= 0], q[score >= 0], score[score >= 0]
         if not len(p):
             return empty
         a, b = x["id"].to_numpy()[p], y["id"].to_numpy()[q]
-        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "x": p, "s": score[p, q]})
+        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "x": p, "s": score})
         found = found.sort_values(["s", "a", "b"], ascending=[False, True, True])
         kept = found.groupby("x", sort=False).head(best)
         return kept[["a", "b"]].assign(more=len(kept) < len(found))

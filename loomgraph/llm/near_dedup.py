@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vector
@@ -174,6 +174,39 @@ def _linked(p: MinHash):
     return run
 
 
+def _grams(batches):
+    """(id, gram, size) of every member of every set, and the set's size."""
+    for batch in batches:
+        for i, x in zip(batch.column("id").to_pylist(), batch.column("grams"), strict=True):
+            grams = np.frombuffer(x.as_buffer(), np.int64)
+            n = pa.array(np.full(len(grams), len(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i, np.int64)), pa.array(grams), n], ["id", "gram", "size"])
+
+
+def prefixes(sets: DataFrame, p: MinHash, owner: str = "") -> DataFrame:
+    """(key, id, size, rest): the rarest shingles of each set, of which linked sets share one.
+
+    Shingles are ordered by the number of sets that hold them. Two linked sets
+    share at least ``percent / (100 + percent)`` of both sizes together; so
+    both hold as many from the first shared one on, which is their ``rest``.
+    Shingles of one set alone are left out; they only come first.
+    """
+    grams = store(sets.mapInArrow(_grams, "id long, gram long, size long"), "grams", owner)
+    counts = store(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "gram-counts", owner)
+    shared = grams.join(broadcast_if_small(counts, MAX_BROADCAST), "gram")
+    rest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), F.desc("gram"))).cast("long")
+    ranked = shared.select(F.col("gram").alias("key"), "id", "size", rest.alias("rest"))
+    return ranked.where(100 * F.col("rest") >= p.percent * F.col("size"))
+
+
+def _prefixes_fit(p: MinHash):
+    def fits(x, y):
+        need = p.percent * (x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None])
+        return (100 + p.percent) * np.minimum(x["rest"].to_numpy()[:, None], y["rest"].to_numpy()[None]) >= need
+
+    return fits
+
+
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), owner: str = "") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -200,7 +233,8 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), owner: str = "") ->
         x, y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(p), "a long, b long")
 
-    known = connect(pairs, crowded, signatures.select("id", "sig"), posterior_screen(p), verify, owner)
+    narrower = lambda ids: prefixes(sets.join(broadcast_if_small(ids, MAX_BROADCAST), "id", "left_semi"), p, owner)
+    known = connect(pairs, crowded, signatures.select("id", "sig"), posterior_screen(p), verify, owner, narrower, _prefixes_fit(p))
     # rows with one id and different texts are linked through the id
     versions = full.select("doc_id", "print").distinct()
     several = versions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
