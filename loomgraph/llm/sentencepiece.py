@@ -10,6 +10,7 @@ so that decoding gives every text back exactly.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from functools import cached_property
@@ -163,38 +164,44 @@ class Model:
     def _cache(self) -> dict[str, list[int]]:
         return {}
 
+    @cached_property
+    def _check(self) -> list[int]:
+        """Of the trie, with room for a step from any state."""
+        return [*self.trie.check, *[-1] * (max(self.trie.base) + 258 - len(self.trie.check))]
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_chunks", "_cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_chunks", "_cache", "_check")}
 
     def viterbi(self, chunk: str) -> list[int]:
         """Ids of the best segmentation; of equal ones that with the longer last pieces."""
         if chunk == MARK:
             return [self.byte_ids[b] for b in MARK.encode()]
         data = chunk.replace(" ", MARK).encode()
-        n, base, check, value, scores = len(data), self.trie.base, self.trie.check, self.trie.value, self.scores
-        size = len(check)
-        best: list[float | None] = [None] * (n + 1)
+        n, base, check, value, scores = len(data), self.trie.base, self._check, self.trie.value, self.scores
+        steps = [c + 1 for c in data]
+        best = [-math.inf] * (n + 1)
         back = [(0, 0)] * (n + 1)
         best[0] = 0.0
         i = 0
         while i < n:
             c = data[i]
             after = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
-            here, single, state = best[i], False, 0
-            for j in range(i, n):
-                t = base[state] + data[j] + 1
-                if t >= size or check[t] != state:
+            here, single, state, j = best[i], False, 0, i
+            while j < n:
+                t = base[state] + steps[j]
+                if check[t] != state:
                     break
-                state = t
-                piece = value[t]
+                state, piece = t, value[t]
+                j += 1
                 if piece >= 0:
                     s = here + scores[piece]
-                    if best[j + 1] is None or s > best[j + 1]:
-                        best[j + 1], back[j + 1] = s, (i, piece)
-                    single |= j + 1 == after
+                    if s > best[j]:
+                        best[j], back[j] = s, (i, piece)
+                    if j == after:
+                        single = True
             if not single:
                 s = here + self.unknown_score
-                if best[after] is None or s > best[after]:
+                if s > best[after]:
                     best[after], back[after] = s, (i, -1)
             i = after
         out = []
