@@ -14,8 +14,10 @@ import math
 import re
 import struct
 from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,6 +234,14 @@ class Model:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def _lists(ids: list[list[int] | None]) -> pa.ListArray:
+    sizes = [len(x or ()) for x in ids]
+    flat = np.fromiter(chain.from_iterable(x for x in ids if x), np.int32, sum(sizes))
+    starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+    nulls = np.array([*(x is None for x in ids), False])
+    return pa.ListArray.from_arrays(pa.array(starts, mask=nulls), pa.array(flat))
+
+
 def encode(docs: DataFrame, model: Model, text: str = "text", piece: int = 2_000_000) -> DataFrame:
     """Every row of ``docs`` without the text, plus ``token_ids``, ``n_tokens`` and ``round_trip``.
 
@@ -256,7 +266,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", piece: int = 2_000
                     ids.append(found)
                     counts.append(len(found or ()))
                     same.append(t is None or model.decode(found) == t)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], [*names, "token_ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), _lists(ids), pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], [*names, "token_ids", "n_tokens", "round_trip"])
 
     return docs.select(*names, F.col(text)).mapInArrow(run, schema)
 
