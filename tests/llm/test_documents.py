@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _vector, decontaminate, grouping, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece
+from loomgraph.llm import _common, _vector, decontaminate, grouping, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece
 
 BASE = "the quick brown fox jumps over the lazy dog and then walks home along the river bank in the late evening sun before it sleeps under a tree"
 ODD = [(100, None), (101, ""), (102, "   \n "), (103, "one"), (104, "one"), (104, "one"), (None, "nobody knows this text"), (105, "long " * 30_000)]
@@ -204,6 +204,35 @@ def test_lines_against_brute_force(spark):
     assert removed == {2 * i + 1 for i, x in enumerate(linked) if x}
 
 
+def crowded_lines():
+    """Lines of 160 characters and more: a family of 40 in two halves, and 40 others, all with one common passage."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8)))
+    passage, base = " ".join(word() for _ in range(12)), [word() for _ in range(20)]
+    other = [*base[:-9], *(word() for _ in range(9))]
+    change = lambda words: " ".join(word() if k == at else w for at in [r.randrange(len(words))] for k, w in enumerate(words))
+    return [f"{passage} {change(base if i % 2 else other)}" for i in range(40)] + [f"{passage} {' '.join(word() for _ in range(20))}" for _ in range(40)]
+
+
+@pytest.mark.parametrize("part", [grouping.PART, 20])
+def test_crowded_lines_against_brute_force(spark, monkeypatch, part):
+    """However large, a bucket is gone through once, and of the tables on the way none stays."""
+    monkeypatch.setattr(grouping, "PART", part)
+    names, put = [], grouping.store
+    monkeypatch.setattr(grouping, "store", lambda df, name, owner="": names.append(name) or put(df, name, owner))
+    before = {k: len(v) for k, v in _common._stored.items()}
+    lines = crowded_lines()
+    removed = {r["doc_id"] for r in line_dedup.repeated_lines(frame(spark, list(enumerate(lines)))).collect()}
+    group = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if group[i] != group[j] and line_dedup.distance(a, b, len(a) + len(b)) <= line_dedup.edits(max(len(a), len(b)), 0.9):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert removed == {i for i, g in enumerate(group) if i != g} and 20 <= len(removed) <= 39
+    assert names.count("links") <= 3
+    assert sum(len(v) for v in _common._stored.values()) == sum(before.values()) + 1
+
+
 def test_normal_lines_of_all_letters():
     r = random.Random(3)
     lines = ["".join(r.choices("aZ09 ,.-ÀÉéß×÷ñ–“x中文İ\t_", k=r.randint(0, 12))) for _ in range(3000)] + ["", "  ", "É É", "--"]
