@@ -233,6 +233,46 @@ def test_crowded_lines_against_brute_force(spark, monkeypatch, part):
     assert sum(len(v) for v in _common._stored.values()) == sum(before.values()) + 1
 
 
+def test_lines_with_one_passage_are_not_crowded(spark, monkeypatch):
+    """Lines that share a passage alone stand in no crowded bucket, and in no more pairs than lines."""
+    seen, link = [], line_dedup.connect_texts
+    monkeypatch.setattr(line_dedup, "connect_texts", lambda pairs, crowded, *rest: seen.append((pairs.count(), crowded.count())) or link(pairs, crowded, *rest))
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8)))
+    passage = " ".join(word() for _ in range(6))
+    lines = [f"{passage} {' '.join(word() for _ in range(11))}" for _ in range(120)]
+    assert line_dedup.repeated_lines(frame(spark, list(enumerate(lines)))).isEmpty()
+    assert seen[0][0] <= len(lines) and seen[0][1] == 0
+
+
+@pytest.mark.parametrize("part", [grouping.PART, 20])
+def test_scan_offers_every_pair_that_is_alike(monkeypatch, part):
+    """As a pair or as members of one crowded bucket, in batches that cut buckets; and sketches admit all linked lines."""
+    monkeypatch.setattr(grouping, "PART", part)
+    r = random.Random(5)
+    text = lambda n: "".join(r.choices("abcdefgh uvw\u0434", k=n))
+    lines = []
+    for n in [5, 30, 59, 60, 100, 300] * 2:
+        lines += [x := text(n), *("".join(text(1) if k in at else c for k, c in enumerate(x)) for at in (r.sample(range(n), r.randint(0, n // 7)) for _ in range(r.choice([1, 6, 15]))))]
+    alike, reach = line_dedup.alike(0.9), grouping.Reach.of(0.9, 8)
+    bucket = np.array([r.choice([3, 4, 5, 5, 5, 9 + i // 6]) for i in range(len(lines))], np.uint64) << np.uint64(40)
+    key, sketch, ids = grouping.packed_keys(bucket, np.array([len(x) for x in lines])), line_dedup.sketches(lines), np.arange(len(lines))
+    order = np.lexsort((ids, key))
+    rows = pa.table({"key": key[order], "id": ids[order], "sketch": sketch[order]}).to_batches(max_chunksize=70)
+    pairs, crowds = set(), set()
+    for t in (b.to_pylist() for b in grouping._scan(reach, 4, alike)(rows)):
+        pairs |= {(x["a"], x["b"]) for x in t if x["key"] is None}
+        crowds |= {(x["key"] >> grouping.LOW_BITS, x["b"]) for x in t if x["key"] is not None}
+    for i in range(len(lines)):
+        for j in range(i):
+            k, at, of = bucket[i] >> np.uint64(grouping.LOW_BITS), slice(i, i + 1), slice(j, j + 1)
+            admitted = reach.test(key[at], key[of])[0] and alike(key[at], key[of], sketch[at], sketch[of])[0]
+            if bucket[i] == bucket[j] and admitted:
+                assert (j, i) in pairs or {(int(k), i), (int(k), j)} <= crowds
+            assert admitted or line_dedup.distance(lines[i], lines[j], 400) > line_dedup.edits(max(len(lines[i]), len(lines[j])), 0.9)
+    assert pairs and crowds
+
+
 def test_normal_lines_of_all_letters():
     r = random.Random(3)
     lines = ["".join(r.choices("aZ09 ,.-ÀÉéß×÷ñ–“x中文İ\t_", k=r.randint(0, 12))) for _ in range(3000)] + ["", "  ", "É É", "--"]
