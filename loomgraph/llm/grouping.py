@@ -472,10 +472,10 @@ def connect(
     pairs that would join two components are held against each other. Of a
     crowded bucket that still has several, the members outside its largest
     component meet the whole bucket in blocks of ``CHUNK`` by ``CHUNK``
-    signatures; each offers its best candidate in another component, and the
-    rounds go on, with eight times as many each, until none was held back: no
-    pair that could join two components is left out, and pairs within one are
-    never made.
+    signatures; each offers its best candidate in another component. Those
+    that held some back meet the bucket again and offer eight times as many,
+    until none was held back: no pair that could join two components is left
+    out, as components only grow, and pairs within one are never made.
 
     ``narrower(ids)`` gives other buckets (key, id, ...) for the members of
     those that have several components: any two that can be linked must share
@@ -492,9 +492,11 @@ def connect(
         mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
         ids = store(crowded.join(mixed.select("key"), "key", "left_semi").select("id").distinct(), "mixed", owner)
         crowded = store(narrower(ids), "crowded", owner)
+    held = None
     while True:
-        offered = _offers(crowded, known, signatures, near, best, owner, fits)
-        more = offered is not None and not offered.where("more").isEmpty()
+        offered = _offers(crowded, known, signatures, near, best, owner, fits, held)
+        held = None if offered is None else store(offered.where("held is not null").select("key", F.col("held").alias("id")).distinct(), "held", owner)
+        more = held is not None and not held.isEmpty()
         if offered is not None:
             offered = offered.select("a", "b")
             untested = offered if untested is None else untested.union(offered)
@@ -507,17 +509,25 @@ def connect(
         untested, best = None, best * 8
 
 
-def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str, fits=None) -> DataFrame | None:
-    """Stored (a, b, more): candidates that would join two components of a crowded bucket; none if each bucket has one."""
+def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str, fits=None, held: DataFrame | None = None) -> DataFrame | None:
+    """Stored (a, b, key, held): candidates that would join two components of a crowded bucket, and the id that held others back; none if each bucket has one.
+
+    The members outside the main component offer, or those of ``held`` (key, id).
+    """
     if crowded.isEmpty():
         return None
     marked = crowded.join(known, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     sizes = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
-    marked = store(marked.join(main, "key").withColumn("out", F.col("c") != F.col("main")), "marked", owner)
+    if held is None:
+        marked = marked.join(main, "key").withColumn("out", F.col("c") != F.col("main"))
+    else:
+        some = main.select("key", "main", "n").join(held.groupBy("key").agg(F.count(F.lit(1)).alias("outside")), "key")
+        marked = marked.join(some, "key").join(held.withColumn("out", F.lit(True)), ["key", "id"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    marked = store(marked, "marked", owner)
     if marked.isEmpty():
         return None
-    return store(_blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best, fits), "a long, b long, more boolean").distinct(), "offers", owner)
+    return store(_blocks(marked).join(signatures, "id").groupBy("key", "i", "j").applyInPandas(_offer(near, best, fits), "a long, b long, key long, held long"), "offers", owner)
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
@@ -533,7 +543,7 @@ def _blocks(marked: DataFrame) -> DataFrame:
 def _offer(near, best: int, fits=None):
     def offer(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["x"]], group[~group["x"]]
-        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "more": np.empty(0, bool)})
+        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "key": np.empty(0, np.int64), "held": pd.array([], "Int64")})
         if not len(x) or not len(y):
             return empty
         rows = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
@@ -553,7 +563,8 @@ def _offer(near, best: int, fits=None):
         found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "x": p, "s": score})
         found = found.sort_values(["s", "a", "b"], ascending=[False, True, True])
         kept = found.groupby("x", sort=False).head(best)
-        return kept[["a", "b"]].assign(more=len(kept) < len(found))
+        held = pd.Series(x["id"].to_numpy()[kept["x"]], kept.index, "Int64").where(np.bincount(p, minlength=len(x))[kept["x"]] > best)
+        return kept[["a", "b"]].assign(key=group["key"].iloc[0], held=held)
 
     return offer
 

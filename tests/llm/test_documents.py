@@ -103,6 +103,21 @@ def test_buckets_and_links_against_all_pairs(spark, monkeypatch, small, places):
     assert got == {i: c for i, c in want.items() if sizes[c] > 1}
 
 
+def test_only_members_that_held_pairs_back_offer_again(spark, monkeypatch):
+    """Of 41 rows of one bucket, 0 to 39 near each other in tens but not linked; 40 is near 39 alone, and linked."""
+    met, blocks = [], grouping._blocks
+    monkeypatch.setattr(grouping, "_blocks", lambda marked: met.append({r["id"] for r in marked.where("out").collect()}) or blocks(marked))
+    value = {i: 1000 * (i // 10) + i % 10 for i in range(40)} | {40: 5000, 41: 5001}
+    number = lambda x: np.ascontiguousarray(x).view("<i8")[..., 0]
+    near = lambda x, y: np.where(np.abs(number(x) - number(y)) < 100, 1, -1)
+    crowded = spark.createDataFrame([(7, i) for i in value], "key long, id long")
+    signatures = spark.createDataFrame([(i, bytearray(np.int64(v).tobytes())) for i, v in value.items()], "id long, sig binary")
+    pairs = spark.createDataFrame([(0, 1, 1)], "a long, b long, n long")
+    got = grouping.connect(pairs, crowded, signatures, near, lambda p: p.where("(a = 40 and b = 41) or (a = 8 and b = 9)")).collect()
+    assert {r["id"]: r["component"] for r in got} == {40: 40, 41: 40, 8: 8, 9: 8}
+    assert len(met) == 3 and not {40, 41} & (met[1] | met[2]) and met[1] and not met[2] - met[1]
+
+
 def test_shingles_of_every_piece_of_a_batch():
     texts = [f"Ab {i} Çd AB {i}\n" * (i % 9) + " Éf" for i in range(500)] + [None, "", " "]
     for valid in (True, False):
