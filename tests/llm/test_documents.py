@@ -260,6 +260,31 @@ def test_lines_with_one_passage_are_not_crowded(spark, monkeypatch):
     assert seen[0][0] <= len(lines) and seen[0][1] == 0
 
 
+def test_only_lines_alike_with_another_component_bring_their_texts(spark, monkeypatch):
+    """Of a bucket with a family of 16 linked lines and two others of the same letters in another order, the two alone."""
+    seen, put = [], grouping.store
+    monkeypatch.setattr(grouping, "store", lambda df, name, owner="": [t := put(df, name, owner), seen.append({r["id"] for r in t.select("id").collect()}) if name == "signed" else None][0])
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choices(letters, k=r.randint(3, 8)))
+    passage, base, other = (" ".join(word(letters) for _ in range(n)) for letters, n in (("abcdefghi", 16), ("abcdefgh", 8), ("mnop", 8)))
+    lines = [f"{passage} {base} {chr(97 + i)}" for i in range(16)] + [f"{passage} {other}", f"{passage} {other[::-1]}"]
+    assert {x["doc_id"] for x in line_dedup.repeated_lines(frame(spark, list(enumerate(lines)))).collect()} == set(range(1, 16))
+    assert [len(ids) for ids in seen] == [2]
+
+
+def test_packed_entries_are_the_sorted_distinct_ones(monkeypatch):
+    monkeypatch.setattr(grouping, "PACK", 300)
+    r = np.random.default_rng(3)
+    k, i = r.integers(-(2**63), 2**63 - 1, 200)[r.integers(0, 200, 2000)], r.integers(0, 5, 2000)
+    batches = pa.table({"key": k, "id": i, "sketch": k ^ i}).to_batches(max_chunksize=170)
+    packed = [x for b in grouping._packed(lambda b: b)(batches) for x in b.to_pylist()]
+    assert len(packed) < 1500 and all(-2048 <= x["range"] < 2048 for x in packed)
+    packed.sort(key=lambda x: x["range"])
+    rows = pa.RecordBatch.from_pylist(packed, pa.schema([("range", pa.int32()), ("rows", pa.binary())]))
+    got = [tuple(x.values()) for b in grouping._unpacked(rows.slice(a, 7) for a in range(0, len(rows), 7)) for x in b.to_pylist()]
+    assert got == sorted({(a, b, a ^ b) for a, b in zip(k.tolist(), i.tolist(), strict=True)})
+
+
 @pytest.mark.parametrize("part", [grouping.PART, 20])
 def test_scan_offers_every_pair_that_is_alike(monkeypatch, part):
     """As a pair or as members of one crowded bucket, in batches that cut buckets; and sketches admit all linked lines."""
