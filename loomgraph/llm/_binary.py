@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 TRAILER = b"P*M\x18\x00\x00\x00\x00"
 
 
-def write_files(df: DataFrame, path: str, column: str = "data", by: str | None = None) -> None:
+def write_files(df: DataFrame, path: str, column: str = "data", by: str | None = None, mode: str = "error") -> None:
     """Write the bytes in ``column`` of each row to a file below ``path``, in a folder for each value of ``by`` if given."""
     data = F.col(column).cast("string").alias("value")
-    out = df.select(data, *([by] if by else [])).write.option("lineSep", TRAILER.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none")
+    out = df.select(data, *([by] if by else [])).write.option("lineSep", TRAILER.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").mode(mode)
     (out.partitionBy(by) if by else out).text(path)
 
 

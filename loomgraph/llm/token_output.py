@@ -20,7 +20,6 @@ the rest of which are the end mark.
 from __future__ import annotations
 
 import base64
-import re
 import struct
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _binary, _vector
-from ._common import broadcast_if_small, store
+from ._common import broadcast_if_small, free_shuffles, store
 
 MAGIC = b"LOOMTOK1"
 HEADER = 64
@@ -44,6 +43,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Rows (a partition and its base) that may be broadcast.
 MAX_BROADCAST = 500_000
+#: Parts in which the sequences are shuffled one after the other, so that less of them is on disk at once.
+SLICES = 2
 
 
 @dataclass(frozen=True)
@@ -96,14 +97,14 @@ class Permutation:
 
 
 class Tokens:
-    """Byte-level ids of a vocabulary file; pieces of white space and what follows are looked up whole once seen."""
+    """Byte-level ids of a vocabulary file."""
 
     def __init__(self, path: str = DEFAULT_VOCABULARY, pattern: str = PATTERN):
-        self.path, self.pattern, self._seen, self._encode = path, pattern, {}, None
+        self.path, self.pattern, self._encode = path, pattern, None
         self.end = len(Path(path).read_bytes().splitlines())
 
     def __getstate__(self):
-        return {"path": self.path, "pattern": self.pattern, "end": self.end, "_seen": {}, "_encode": None}
+        return {"path": self.path, "pattern": self.pattern, "end": self.end, "_encode": None}
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text, 16 bits each."""
@@ -112,18 +113,7 @@ class Tokens:
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(self.path).read_bytes().splitlines())}
             self._encode = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        seen, encode, found = self._seen, self._encode, []
-        if len(seen) > 250_000:
-            seen.clear()
-        # no split of the pattern reaches over a change from other characters to white space
-        for piece in re.findall(r"\s*\S+|\s+", text):
-            ids = seen.get(piece)
-            if ids is None:
-                ids = np.array(encode(piece), "<u2").tobytes()
-                if len(piece) <= 40:
-                    seen[piece] = ids
-            found.append(ids)
-        return b"".join(found)
+        return np.array(self._encode(text), "<u2").tobytes()
 
 
 def tokenised(docs: DataFrame, encode: Callable[[str], bytes], end: int, layout: Layout, owner: str = "") -> DataFrame:
@@ -174,14 +164,16 @@ def materialise(docs: DataFrame, path: str, layout: Layout = Layout(), tokens: T
     order, shards = Permutation(slots, layout.key, layout.rounds), -(-slots // layout.per_shard)
     width = 2 * layout.length
 
-    def sequences(batches):
+    def sequences(batches, low: int, high: int):
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for first, base, ids in zip(batch.column("first").to_pylist(), batch.column("base").to_pylist(), batch.column("ids"), strict=True):
                 raw = unpack.decompress(ids.as_buffer())
-                data = [raw[i : i + width] for i in range(0, len(raw), width)]
-                slot = order.slot(np.arange(base + first, base + first + len(data)))
-                yield pa.RecordBatch.from_arrays([pa.array(slot // layout.per_shard), pa.array((slot % layout.per_shard).astype(np.int32)), pa.array([pack.compress(x) for x in data], pa.binary())], ["shard", "row", "data"])
+                slot = order.slot(np.arange(base + first, base + first - (-len(raw) // width)))
+                shard = slot // layout.per_shard
+                own = np.flatnonzero((shard >= low) & (shard < high))
+                data = [pack.compress(raw[i * width : (i + 1) * width]) for i in own.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[own]), pa.array((slot[own] % layout.per_shard).astype(np.int32)), pa.array(data, pa.binary())], ["shard", "row", "data"])
 
     fingerprint = xxhash.xxh3_64_intdigest(struct.pack("<Q", layout.key % (1 << 64)))
 
@@ -206,11 +198,16 @@ def materialise(docs: DataFrame, path: str, layout: Layout = Layout(), tokens: T
         if number is not None:
             yield shard_of(number, body)
 
-    placed = found.join(broadcast_if_small(bases.select("part", "base"), MAX_BROADCAST), "part").select("first", "base", "ids").mapInArrow(sequences, "shard long, row int, data binary")
+    placed = found.join(broadcast_if_small(bases.select("part", "base"), MAX_BROADCAST), "part").select("first", "base", "ids")
     # slots are spread evenly, so equal ranges of shards are equal work
     ranges = max(1, -(-shards // layout.per_task))
-    dealt = placed.repartitionById(ranges, F.floor(F.col("shard") / layout.per_task).cast("int")).sortWithinPartitions("shard")
-    _binary.write_files(dealt.mapInArrow(assemble, "shard long, data binary"), path, by="shard")
+    each = -(-ranges // SLICES)
+    for start in range(0, ranges, each):
+        low, high = start * layout.per_task, (start + each) * layout.per_task
+        dealt = placed.mapInArrow(lambda batches, low=low, high=high: sequences(batches, low, high), "shard long, row int, data binary")
+        dealt = dealt.repartitionById(min(each, ranges - start), (F.floor(F.col("shard") / layout.per_task) - start).cast("int")).sortWithinPartitions("shard")
+        _binary.write_files(dealt.mapInArrow(assemble, "shard long, data binary"), path, by="shard", mode="append" if start else "error")
+        free_shuffles(docs.sparkSession)
     return slots
 
 

@@ -74,6 +74,22 @@ def test_token_shards(spark, tmp_path):
     assert token_output.materialise(df.limit(0), f"file://{tmp_path}/t", lay) == 0
 
 
+def test_token_shards_are_shuffled_in_parts(spark, tmp_path, monkeypatch):
+    """Half of the shards at a time, with the slots that all at once would have."""
+    parts, write = [], token_output._binary.write_files
+    monkeypatch.setattr(token_output._binary, "write_files", lambda df, *a, **k: parts.append({r["shard"] for r in df.select("shard").collect()}) or write(df, *a, **k))
+    df = spark.createDataFrame([(i, f"text {i} is of its own. " * (i % 5)) for i in range(60)], "doc_id long, text string").repartition(3).cache()
+    lay = token_output.Layout(length=8, per_shard=6, per_task=2, per_run=4)
+    rows = []
+    for slices in (token_output.SLICES, 1):
+        monkeypatch.setattr(token_output, "SLICES", slices)
+        path = f"file://{tmp_path}/{slices}"
+        n = token_output.materialise(df, path, lay)
+        rows.append(sorted(map(tuple, token_output.read_slots(spark, path, lay, packed=True).select("slot", "sequence", "shard", "n_tokens", "token_ids").collect())))
+    assert len(parts) == 3 and len(rows[0]) == n > 60 and rows[0] == rows[1]
+    assert not parts[0] & parts[1] and parts[0] | parts[1] == parts[2] and 2 * max(map(len, parts[:2])) <= len(parts[2]) + 2 * lay.per_task
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_permutation(n):
     p = token_output.Permutation(n, 42)
