@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import free_shuffles, release, store
@@ -581,9 +581,12 @@ def connect(
     until none was held back: no pair that could join two components is left
     out, as components only grow, and pairs within one are never made.
 
-    ``narrower(ids)`` gives other buckets (key, id, ...) for the members of
-    those that have several components: any two that can be linked must share
-    one in which ``fits(x, y)`` holds, for rows x and columns y of a block.
+    ``narrower(ids)`` gives other buckets (key, id, rest, ...) for the members
+    of those that have several components: any two that can be linked must
+    share one in which ``fits(x, y)`` holds, for rows x and columns y of a
+    block. ``rest`` falls along one order of all keys, and ``fits`` holds in
+    the first that two share if in any. So members that have a bucket's usual
+    ``before``, their own key before it in that order, in common have met there.
     """
     first = store(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs", owner)
     known = components(verify(screened(first, signatures, near)), owner)
@@ -595,7 +598,8 @@ def connect(
         marked = crowded.join(known, "id", "left").withColumn("c", F.coalesce("component", "id"))
         mixed = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
         ids = store(crowded.join(mixed.select("key"), "key", "left_semi").select("id").distinct(), "mixed", owner)
-        crowded = store(narrower(ids), "crowded", owner)
+        earlier = F.lag("key").over(Window.partitionBy("id").orderBy(F.desc("rest")))
+        crowded = store(narrower(ids).withColumn("before", earlier), "crowded", owner)
     held = None
     while True:
         offered = _offers(crowded, known, signatures, near, best, owner, fits, held)
@@ -616,7 +620,8 @@ def connect(
 def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, best: int, owner: str, fits=None, held: DataFrame | None = None) -> DataFrame | None:
     """Stored (a, b, key, held): candidates that would join two components of a crowded bucket, and the id that held others back; none if each bucket has one.
 
-    The members outside the main component offer, or those of ``held`` (key, id).
+    The members outside the main component offer, or those without the usual
+    key before the bucket's if they are fewer, or those of ``held`` (key, id).
     """
     if crowded.isEmpty():
         return None
@@ -624,10 +629,18 @@ def _offers(crowded: DataFrame, known: DataFrame, signatures: DataFrame, near, b
     sizes = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
     if held is None:
-        marked = marked.join(main, "key").withColumn("out", F.col("c") != F.col("main"))
+        if "before" in marked.columns:
+            usual = marked.where("before is not null").groupBy("key", "before").agg(F.count(F.lit(1)).alias("m"))
+            usual = usual.groupBy("key").agg(F.max_by("before", F.struct("m", "before")).alias("usual"), F.max("m").alias("met"))
+            main = main.join(usual, "key", "left").withColumn("few", F.coalesce(F.col("n") - F.col("met") < F.col("outside"), F.lit(False)))
+            main = main.withColumn("outside", F.when(F.col("few"), F.col("n") - F.col("met")).otherwise(F.col("outside"))).where("outside > 0")
+            out = F.when(F.col("few"), ~F.col("before").eqNullSafe(F.col("usual"))).otherwise(F.col("c") != F.col("main"))
+            marked = marked.join(main, "key").withColumn("out", out).drop("before", "usual", "met", "few")
+        else:
+            marked = marked.join(main, "key").withColumn("out", F.col("c") != F.col("main"))
     else:
         some = main.select("key", "main", "n").join(held.groupBy("key").agg(F.count(F.lit(1)).alias("outside")), "key")
-        marked = marked.join(some, "key").join(held.withColumn("out", F.lit(True)), ["key", "id"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
+        marked = marked.drop("before").join(some, "key").join(held.withColumn("out", F.lit(True)), ["key", "id"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
     marked = store(marked, "marked", owner)
     if marked.isEmpty():
         return None

@@ -118,6 +118,30 @@ def test_only_members_that_held_pairs_back_offer_again(spark, monkeypatch):
     assert len(met) == 3 and not {40, 41} & (met[1] | met[2]) and met[1] and not met[2] - met[1]
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_members_with_several_buckets_in_common_meet_in_the_first(spark, monkeypatch, seed):
+    """Rows 0 to 39 stand in buckets 1 to 5, row 40 in the third alone, or all in random ones; links are those of all pairs that share one."""
+    monkeypatch.setattr(grouping, "CHUNK", 16)
+    met, blocks = [], grouping._blocks
+    monkeypatch.setattr(grouping, "_blocks", lambda marked: met.append(marked.where("out").count()) or blocks(marked))
+    r = random.Random(seed)
+    keys = {i: [1, 2, 3, 4, 5] for i in range(40)} | {40: [3]} if seed is None else {i: sorted(r.sample(range(12), r.randint(1, 8))) for i in range(41)}
+    joins = {(7, 40)} if seed is None else {(i, j) for i in keys for j in keys if i < j and set(keys[i]) & set(keys[j]) and r.random() < 0.03}
+    narrow = spark.createDataFrame([(k, i, len(of) - n) for i, of in keys.items() for n, k in enumerate(of)], "key long, id long, rest long")
+    crowded = spark.createDataFrame([(7, i) for i in keys], "key long, id long")
+    signatures = spark.createDataFrame([(i, bytearray(8)) for i in keys], "id long, sig binary")
+    linked = spark.createDataFrame(sorted(joins), "a long, b long")
+    near = lambda x, y: np.ones(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.int32)
+    fits = lambda x, y: np.ones((len(x), len(y)), bool)
+    found = grouping.connect(spark.createDataFrame([], "a long, b long, n long"), crowded, signatures, near, lambda p: p.join(linked, ["a", "b"], "left_semi"), "", lambda ids: narrow, fits)
+    of = {i: i for i in keys}
+    for i, j in sorted(joins) * 41:
+        of[i] = of[j] = min(of[i], of[j])
+    got = {x["id"]: x["component"] for x in found.collect()}
+    assert got == {i: c for i, c in of.items() if any(i in x for x in joins)}
+    assert seed is not None or met[0] <= 41
+
+
 def test_shingles_of_every_piece_of_a_batch():
     texts = [f"Ab {i} Çd AB {i}\n" * (i % 9) + " Éf" for i in range(500)] + [None, "", " "]
     for valid in (True, False):
