@@ -352,6 +352,37 @@ def test_within_against_edit_distance():
         assert line_dedup.within(a, b, most) == (edit_distance(a, b) <= most)
 
 
+@pytest.mark.parametrize("few", [line_dedup.FEW, 1])
+def test_many_pairs_at_once_against_edit_distance(monkeypatch, few):
+    """Hundreds of pairs with bands of one word and of several, of which the batch leaves few to be compared alone."""
+    alone, one = [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda *pair: alone.append(pair) or one(*pair))
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    r = random.Random(11)
+    cases = [("", "", 0), ("", "ab", 2), ("", "ab", 1), ("a", "b", 0), ("a", "b", 1)]
+    for n in [r.randint(2, 60) for _ in range(300)] + [r.randint(60, 160) for _ in range(60)] + [r.randint(200, 400) for _ in range(40)]:
+        a = "".join(r.choices("abc \u00e9\u4e2d\U0001f600", k=n))
+        b = list(a)
+        for _ in range(r.randint(0, max(1, n // 6))):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["", "a", "x", "\u00e9"])
+        cases.append((*r.sample([a, "".join(b)], 2), r.choice([n // 10, n // 8, n // 5, n // 2, n])))
+    assert line_dedup.within_all([], [], []).tolist() == []
+    assert line_dedup.within_all(*map(list, zip(*cases, strict=True))).tolist() == [edit_distance(a, b) <= most for a, b, most in cases]
+    assert len({(most + 63) // 64 for _, _, most in cases}) >= 5 and len(alone) <= (150 if few > 1 else 0)
+
+
+def test_lines_are_cut_of_any_column(spark):
+    """Names are kept, other columns too, and lines count that have letters or digits beyond ASCII alone."""
+    long = "this is a line of many words that stands in several documents of the corpus"
+    rows = [(1, f"{long}\n\u00bf?\n\u4e2d\u6587\n\n---\u2014", [1, 2]), (2, f"\n{long}\n", None), (3, None, []), (4, "", [3]), (5, long, [4])]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, other array<int>").withColumn("N_LINES", F.lit("x"))
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "Text", "other", "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, rows[0][1], [1, 2], 2, 0), (2, "\n", None, 1, 1), (3, None, [], 0, 0), (4, "", [3], 0, 0), (5, "", [4], 1, 1)]
+    assert [len(line_dedup._worded(pa.array(x, pa.large_string()))) for x in ([], [""], ["", "a"])] == [0, 1, 2]
+
+
 def test_quality_rules(spark):
     good = [(10_000 + i, " ".join(f"g{i}w{j}" for j in range(60))) for i in range(900)]  # fewer could certify nothing at this level
     junk = [(3000 + i, " ".join(f"J{i}W{j}###" for j in range(60))) for i in range(100)]
