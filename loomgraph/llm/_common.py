@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = "[\\x20\\x09-\\x0D]+"
 
+#: Seconds after which it is looked whether the shuffles of ended plans are gone.
+WAITS = (0.1, 0.2, 0.4, 0.8)
+
 _own_dir: str | None = None
 _stored: dict[str, list[str]] = {}
 #: Names in the catalogue of those that are dealt by a key.
@@ -76,10 +80,18 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that have ended.
 
     It does so only once the driver's garbage collector has found the plans
-    unused, which a driver with little to do may put off for half an hour.
+    unused, which a driver with little to do may put off for half an hour. A
+    plan is in use until its end has been told to all listeners, so where
+    shuffles are left it is looked again, a few times.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    left = jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    for seconds in WAITS:
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(seconds)
+        if left.isEmpty():
+            return
 
 
 def release(spark: SparkSession, owner: str) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import threading
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat_format, html_extract, token_output, warc
+from loomgraph.llm import _common, chat_format, html_extract, token_output, warc
 
 
 def test_warc(spark, tmp_path):
@@ -90,6 +91,19 @@ def test_token_shards_are_shuffled_in_parts(spark, tmp_path, monkeypatch):
     assert not parts[0] & parts[1] and parts[0] | parts[1] == parts[2] and 2 * max(map(len, parts[:2])) <= len(parts[2]) + 2 * lay.per_task
 
 
+def test_shuffles_of_plans_that_are_let_go_late_are_freed(spark):
+    """A plan that its listeners hold for a moment after its end, as here a timer does."""
+    left = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    _common.free_shuffles(spark)
+    before, held = left.size(), [spark.range(100).repartition(3, "id").groupBy("id").count()]
+    assert len(held[0].collect()) == 100 and left.size() > before
+    timer = threading.Timer(0.25, held.clear)
+    timer.start()
+    _common.free_shuffles(spark)
+    timer.join()
+    assert left.size() <= before
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_permutation(n):
     p = token_output.Permutation(n, 42)
