@@ -20,6 +20,8 @@ def least_mode(c: Column) -> Column:
 
 def random_walk(g: Hypergraph, starts: DataFrame, iterations: int = 10, reset: float = 0.15) -> DataFrame:
     """(id, score) of a walk with restart at ``starts`` (id)."""
+    rounds = Rounds(g.vertices.sparkSession)
+    g = Hypergraph(g.vertices, rounds.cut(g.hyperedges, "hid"))
     state = g.vertices.select("id").join(incidents(g, Direction.OUT), "id", "left").join(starts.select("id", F.lit(True).alias("s")).distinct(), "id", "left")
     is_start = F.coalesce("s", F.lit(False))
     attr = F.struct(F.when(is_start, 1.0).otherwise(0.0).alias("score"), F.coalesce("incidents", F.lit(0)).alias("out"), is_start.alias("start"))

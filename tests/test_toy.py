@@ -150,3 +150,27 @@ def test_dense_rank_of_unevenly_spread_keys(spark):
 
 def test_default_costs():
     assert partitioning.Costs() == partitioning.Costs(degree=5, replica=10, demand=1)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_superstep_shuffles_twice(spark, toy):
+    """Only what vertices give and what hyperedges send back is dealt; the stored tables stay where they lie."""
+    from loomgraph.operators.pregel import dealt_by_vertex, superstep
+    from loomgraph.plans.lineage import Rounds
+
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    rounds, before = Rounds(spark), tables()
+    edges, links = dealt_by_vertex(toy.hyperedges, rounds)
+    state = rounds.cut(toy.vertices.select("id", F.col("id").alias("attr"), (F.col("id") == 3).alias("active")), "id")
+    for d, want in ((Direction.OUT, {0: 3, 2: 3}), (Direction.IN, {0: 2, 3: 2}), (Direction.EITHER, {0: 3, 2: 3, 3: 2}), (Direction.BOTH, {})):
+        sent = superstep(edges, links, state, F.max, d, to_dst=F.col("m"), src={"m": (F.col("attr"), F.max)})
+        assert by_id(sent) == want
+        held = state.drop("active").join(sent.hint("shuffle_hash"), "id", "left")
+        assert _exchanges(held) == 2
+        old = toy.map_vertices(F.col("id")).map_reduce_tuples(F.max, to_dst=F.col("m"), src={"m": (F.col("attr"), F.max)}, active=toy.vertices.where("id = 3").select("id"), direction=d)
+        assert by_id(old) == want
+    rounds.drop(0)
+    assert tables() == before
