@@ -58,35 +58,51 @@ def greedy(g: Hypergraph, k: int, shards: int = 8, costs: Costs = Costs()) -> tu
     """Two passes in every shard: place each hyperedge where new demand and degree cost least, then try again with all placed.
 
     Vertices then go where they are demanded and few are. A task keeps the
-    demand of its shard.
+    members of its shard and their demand in flat arrays, 4 bytes a member and
+    4 k a vertex.
     """
 
     def place(frames):
-        rows = [(h, np.union1d(s, d), len(s) + len(d)) for t in frames for h, s, d in zip(t["hid"], t["src"], t["dst"], strict=True)]
-        demand: list[dict[int, int]] = [{} for _ in range(k)]
+        hids, sizes, weights, members = [], [], [], []
+        ids = np.empty(0, np.int64)
+        for t in frames:
+            if not len(t):
+                continue
+            lengths = [np.fromiter(map(len, t[c]), np.int64, len(t)) for c in ("src", "dst")]
+            n = lengths[0] + lengths[1]
+            row = np.concatenate([np.repeat(np.arange(len(t)), x) for x in lengths])
+            flat = np.concatenate([np.concatenate(t[c].to_numpy()) for c in ("src", "dst")]).astype(np.int64)
+            order = np.lexsort((flat, row))
+            row, flat = row[order], flat[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])
+            hids.append(t["hid"].to_numpy(np.int64, copy=True))
+            sizes.append(np.bincount(row[first], minlength=len(t)).astype(np.int32))
+            weights.append(n.astype(np.int32))
+            members.append(flat[first])
+            ids = np.union1d(ids, members[-1]) if len(members) % 32 == 0 else ids
+        if not hids:
+            return
+        ids = np.unique(np.concatenate([ids, *(np.unique(m) for m in members)]))
+        for i, m in enumerate(members):  # each gives its memory back
+            members[i] = np.searchsorted(ids, m).astype(np.int32)
+        demand = np.zeros((len(ids), k), np.int32)
         degree = np.zeros(k)
-
-        def cheapest(members) -> int:
-            new = np.array([sum(v not in q for v in members) for q in demand])
-            return int(np.argmin(new * costs.demand + degree * costs.degree))
-
-        def put(p, members, n, by):
-            degree[p] += by * n
-            for v in members:
-                demand[p][v] = demand[p].get(v, 0) + by
-                if not demand[p][v]:
-                    del demand[p][v]
-
-        pids = []
-        for _, members, n in rows:
-            pids.append(p := cheapest(members))
-            put(p, members, n, 1)
-        for i, (_, members, n) in enumerate(rows):
-            put(pids[i], members, n, -1)
-            pids[i] = cheapest(members)
-            put(pids[i], members, n, 1)
-        if rows:
-            yield pd.DataFrame({"hid": [r[0] for r in rows], "pid": np.array(pids, np.int32)})
+        pids = [np.empty(len(h), np.int32) for h in hids]
+        for again in (False, True):
+            for size, weight, member, pid in zip(sizes, weights, members, pids, strict=True):
+                end = 0
+                for i, (m, n) in enumerate(zip(size.tolist(), weight.tolist(), strict=True)):
+                    own = member[end : (end := end + m)]
+                    if again:
+                        degree[pid[i]] -= n
+                        demand[own, pid[i]] -= 1
+                    new = (demand[own] == 0).sum(axis=0)
+                    pid[i] = p = int(np.argmin(new * costs.demand + degree * costs.degree))
+                    degree[p] += n
+                    demand[own, p] += 1
+        for h, pid in zip(hids, pids, strict=True):
+            yield pd.DataFrame({"hid": h, "pid": pid})
 
     placed = _shards(g, shards).mapInPandas(place, "hid long, pid int")
     needs = g.incidence.join(placed, "hid").select(F.col("vid").alias("id"), "pid").distinct()
@@ -99,14 +115,19 @@ def replica(g: Hypergraph, k: int, costs: Costs = Costs(), seed: int = 1) -> tup
     """One stream of all hyperedges, each to the part with most overlap for its degree. By nature one task."""
 
     def place(frames):
-        have: list[set[int]] = [set() for _ in range(k)]
-        degree = np.zeros(k)
+        have: dict[int, int] = {}  # the parts that have a vertex, as bits
+        degree = [0.0] * k
+        parts = range(k)
         for t in frames:
             pids = []
             for s, d in zip(t["src"], t["dst"], strict=True):
-                members = set(s.tolist()) | set(d.tolist())
-                p = int(np.argmax([len(members & q) * costs.replica - degree[i] * costs.degree for i, q in enumerate(have)]))
-                have[p] |= members
+                s, d = s.tolist(), d.tolist()
+                members = {*s, *d}
+                held = [b for v in members if (b := have.get(v, 0))]
+                worth = [sum([b >> i & 1 for b in held]) * costs.replica - degree[i] * costs.degree for i in parts] if held else [-x * costs.degree for x in degree]
+                p = worth.index(max(worth))
+                for v in members:
+                    have[v] = have.get(v, 0) | 1 << p
                 degree[p] += len(s) + len(d)
                 pids.append(p)
             yield pd.DataFrame({"hid": t["hid"], "pid": np.array(pids, np.int32)})
