@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Hypergraph
-from ..plans.lineage import Rounds, small
+from ..plans.lineage import Rounds
 from ..schema import Direction
 from .degrees import incidents
 from .pregel import pregel
@@ -135,13 +135,17 @@ def laplacian(g: Hypergraph) -> DataFrame:
     Pairs are made within hyperedges, from their arrays; a hyperedge of n
     members has n^2 entries.
     """
-    members = F.concat("src", "dst")
-    pairs = g.to_double_weight().hyperedges.select(F.col("attr").alias("w"), F.explode(members).alias("row"), members.alias("m")).select("w", "row", F.explode("m").alias("col"))
-    sums = pairs.groupBy("row", "col").agg(F.sum("w").alias("x"))
-    s = small(incidents(g))
-    scaled = sums.join(s.select(F.col("id").alias("row"), F.col("incidents").alias("nr")), "row").join(s.select(F.col("id").alias("col"), F.col("incidents").alias("nc")), "col")
+    s = incidents(g).select(F.col("id").alias("vid"), "incidents")
+    scaled = g.incidence.join(s, "vid").groupBy("hid").agg(F.sort_array(F.collect_list(F.struct("vid", "incidents"))).alias("m"))
+    weighted = scaled.join(g.to_double_weight().hyperedges.select("hid", F.col("attr").alias("w")), "hid")
+    # each pair is dealt in one order; both numbers of incidents come along, so that nothing is joined to the pairs
+    first = weighted.select("w", "m", F.explode("m").alias("a"))
+    pairs = first.select("w", "a", F.explode("m").alias("b")).where("a.vid <= b.vid")
+    entries = pairs.groupBy(F.col("a.vid").alias("row"), F.col("b.vid").alias("col")).agg(F.sum(F.col("w") / F.sqrt(F.col("a.incidents") * F.col("b.incidents"))).alias("x"))
     one = F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0)
-    return scaled.select("row", "col", (one - 0.5 * F.col("x") / F.sqrt(F.col("nr") * F.col("nc"))).alias("value"))
+    values = entries.select("row", "col", (one - 0.5 * F.col("x")).alias("value"))
+    both = F.when(F.col("row") == F.col("col"), F.array(F.struct("row", "col"))).otherwise(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"))))
+    return values.select(F.inline(both), "value")
 
 
 def laplacian_product(g: Hypergraph, x: DataFrame) -> DataFrame:

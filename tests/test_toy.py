@@ -174,3 +174,61 @@ def test_superstep_shuffles_twice(spark, toy):
         assert by_id(old) == want
     rounds.drop(0)
     assert tables() == before
+
+
+def _shard_task(name):
+    """What a task of the placement runs over the frames of its shard."""
+
+    class Caught:
+        def mapInPandas(self, f, schema):
+            self.f = f
+            raise StopIteration
+
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+    found = Caught()
+    with pytest.raises(StopIteration):
+        getattr(partitioning, name)(Hypergraph(found, found), 4)
+    return found.f
+
+
+def _frames(n, vertices):
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    for i in range(0, n, 1000):
+        side = lambda: [np.unique(r.integers(0, vertices, r.integers(1, 4))) for _ in range(1000)]
+        yield pd.DataFrame({"hid": np.arange(i, i + 1000), "src": side(), "dst": side()})
+
+
+def test_greedy_keeps_its_shard_in_flat_arrays():
+    import hashlib
+    import tracemalloc
+
+    place = _shard_task("greedy")
+    list(place(_frames(1000, 1000)))  # what is imported on the way
+    tracemalloc.start()
+    out = [t["pid"].to_numpy(np.int32) for t in place(_frames(20_000, 15_000))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    assert hashlib.md5(np.concatenate(out).tobytes()).hexdigest() == "00b64b1b2a9b69ce0bb831743c14d41c"
+
+
+def test_replica_places_as_sets_would():
+    place = _shard_task("replica")
+    found = np.concatenate([t["pid"] for t in place(_frames(3000, 500))])
+    have, degree, want = [set() for _ in range(4)], np.zeros(4), []
+    for t in _frames(3000, 500):
+        for s, d in zip(t["src"], t["dst"], strict=True):
+            members = {*s.tolist(), *d.tolist()}
+            want.append(p := int(np.argmax([len(members & q) * 10.0 - degree[i] * 5.0 for i, q in enumerate(have)])))
+            have[p] |= members
+            degree[p] += len(s) + len(d)
+    assert found.tolist() == want
+
+
+def test_laplacian_joins_nothing_to_its_pairs(toy):
+    plan = alg.laplacian(toy)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [") < plan.index("Join")
